@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sitelens.llm import leakage_queries as p7
+from sitelens.llm import pages
 from sitelens.llm import percentile_queries as p6
 
-_MODULES = (p6, p7)
+_MODULES = (pages, p6, p7)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
