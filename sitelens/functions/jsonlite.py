@@ -26,7 +26,7 @@ def read_json(text: str | None):
     for _ in range(5):
         if not text:
             return None
-        text = text.lstrip("﻿ \t\r\n")
+        text = text.lstrip("\ufeff \t\r\n")
         start = 0
         if text[:1] not in '{["':
             fence = _FENCE.search(text)

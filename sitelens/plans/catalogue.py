@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.plans import nested_queries
+from sitelens.plans import audit_queries, audit_sql, nested_queries
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return nested_queries.p1_found(spark, folder)
+    """Health scores of every scan."""
+    return audit_queries.scan_scores(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(nested_queries.QUERIES)
+    return audit_queries.QUERIES | nested_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(audit_sql.SQL)
