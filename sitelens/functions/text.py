@@ -53,24 +53,30 @@ def content_hash(c: Column) -> Column:
 
 
 def shingles(c: Column, k: int = 3) -> Column:
-    """Runs of ``k`` words of three or more letters, with repeats; of fewer words the words themselves."""
+    """Runs of ``k`` words of three or more letters, with repeats; of fewer words the words themselves.
+
+    The runs are zipped from shifted slices: a lambda that held the word list would compute it anew for each run.
+    """
     kept = F.filter(F.split(normal_text(c), " "), lambda w: F.length(w) > 2)
-    return F.when(F.size(kept) < k, kept).otherwise(F.transform(F.sequence(F.lit(1), F.size(kept) - (k - 1)), lambda i: F.array_join(F.slice(kept, i, k), " ")))
+    runs = F.arrays_zip(*[F.slice(kept, j + 1, F.greatest(F.size(kept) - (k - 1), F.lit(0))).alias(f"w{j}") for j in range(k)])
+    return F.when(F.size(kept) < k, kept).otherwise(F.transform(runs, lambda r: F.concat_ws(" ", *[r[f"w{j}"] for j in range(k)])))
 
 
-def _simhash(words: list[str] | None) -> int | None:
-    if words is None:
+def _simhash(text: str | None, k: int) -> int | None:
+    if text is None:
         return None
-    if not len(words):
+    words = [w for w in text.split(" ") if len(w) > 2]
+    parts = words if len(words) < k else [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
+    if not parts:
         return 0
-    digests = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[:8] for w in words), np.uint8)
+    digests = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[:8] for w in parts), np.uint8)
     votes = np.unpackbits(digests.reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(words), bitorder="little").view(np.int64)[0])
+    return int(np.packbits(votes * 2 > len(parts), bitorder="little").view(np.int64)[0])
 
 
 @F.pandas_udf(T.LongType())
-def _simhash_udf(parts: pd.Series) -> pd.Series:
-    return parts.map(_simhash).astype("Int64")
+def _simhash_udf(texts: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series([_simhash(t, n) for t, n in zip(texts, k)], dtype="Int64")
 
 
 def simhash(c: Column, k: int = 3) -> Column:
@@ -78,7 +84,7 @@ def simhash(c: Column, k: int = 3) -> Column:
 
     A text without shingles has 0, a null text null; a tie leaves the bit clear.
     """
-    return _simhash_udf(shingles(c, k))
+    return _simhash_udf(normal_text(c), F.lit(k))
 
 
 def bit_string(c: Column) -> Column:
