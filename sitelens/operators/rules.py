@@ -81,48 +81,49 @@ def _sure(c: Column) -> Column:
 
 def _page_rules() -> None:
     add = PAGE.rule
-    https = _sure(_c("url").startswith("https://"))
-    ok = _sure(_c("status_code") == 200)
-    path = url_path(_c("url"))
-    secured = _c("security_headers").isNotNull()
+    https = lambda: _sure(_c("url").startswith("https://"))
+    ok = lambda: _sure(_c("status_code") == 200)
+    path = lambda: url_path(_c("url"))
+    secured = lambda: _c("security_headers").isNotNull()
     lacks = lambda name: ~_sure(_c("security_headers")[name])
-    title, meta = ~is_blank(_c("title")), ~is_blank(_c("meta_description"))
+    title = lambda: ~is_blank(_c("title"))
+    meta = lambda: ~is_blank(_c("meta_description"))
     rows = [
         ("MISSING_TITLE", "technical", "high", "No title", lambda: is_blank(_c("title")), dict),
-        ("TITLE_TOO_SHORT", "technical", "low", "Short title", lambda: title & (_len("title") < 30), lambda: {"length": _len("title"), "title": _c("title")}),
-        ("TITLE_TOO_LONG", "technical", "low", "Long title", lambda: title & (_len("title") > 60), lambda: {"length": _len("title"), "title": _c("title")}),
+        ("TITLE_TOO_SHORT", "technical", "low", "Short title", lambda: title() & (_len("title") < 30), lambda: {"length": _len("title"), "title": _c("title")}),
+        ("TITLE_TOO_LONG", "technical", "low", "Long title", lambda: title() & (_len("title") > 60), lambda: {"length": _len("title"), "title": _c("title")}),
         ("MISSING_META_DESCRIPTION", "technical", "medium", "No meta description", lambda: is_blank(_c("meta_description")), dict),
-        ("META_DESC_TOO_SHORT", "technical", "low", "Short meta description", lambda: meta & (_len("meta_description") < 70), lambda: {"length": _len("meta_description")}),
-        ("META_DESC_TOO_LONG", "technical", "low", "Long meta description", lambda: meta & (_len("meta_description") > 160), lambda: {"length": _len("meta_description")}),
+        ("META_DESC_TOO_SHORT", "technical", "low", "Short meta description", lambda: meta() & (_len("meta_description") < 70), lambda: {"length": _len("meta_description")}),
+        ("META_DESC_TOO_LONG", "technical", "low", "Long meta description", lambda: meta() & (_len("meta_description") > 160), lambda: {"length": _len("meta_description")}),
         ("MISSING_H1", "technical", "high", "No main heading", lambda: _n("h1_list") == 0, dict),
         ("MULTIPLE_H1", "technical", "medium", "Several main headings", lambda: _n("h1_list") > 1, lambda: {"h1s": _c("h1_list")}),
         ("BROKEN_HEADING_HIERARCHY", "technical", "low", "Heading level skipped", lambda: heading_jump().isNotNull(), lambda: {k: heading_jump()[k] for k in ("jumpedFrom", "jumpedTo", "text")}),
         ("SERVER_ERROR_5XX", "technical", "critical", "Server error", lambda: _c("status_code") >= 500, dict),
         ("PAGE_NOT_FOUND_4XX", "technical", "critical", "Page not served", lambda: (_c("status_code") >= 400) & (_c("status_code") < 500), dict),
         ("MISSING_CANONICAL", "technical", "low", "No canonical URL", lambda: F.coalesce(_c("canonical_url"), F.lit("")) == "", dict),
-        ("CANONICAL_MISMATCH", "technical", "medium", "Canonical URL of another path", lambda: (url_path(_c("canonical_url")) != path) & ~_c("url").contains("?"), lambda: {"canonicalTarget": _c("canonical_url")}),
-        ("INVALID_CANONICAL", "technical", "high", "Canonical URL unreadable", lambda: (F.coalesce(_c("canonical_url"), F.lit("")) != "") & (url_path(_c("canonical_url")).isNull() | path.isNull()), dict),
+        ("CANONICAL_MISMATCH", "technical", "medium", "Canonical URL of another path", lambda: (url_path(_c("canonical_url")) != path()) & ~_c("url").contains("?"), lambda: {"canonicalTarget": _c("canonical_url")}),
+        ("INVALID_CANONICAL", "technical", "high", "Canonical URL unreadable", lambda: (F.coalesce(_c("canonical_url"), F.lit("")) != "") & (url_path(_c("canonical_url")).isNull() | path().isNull()), dict),
         ("NOINDEX_DIRECTIVE", "technical", "high", "Kept from the index", lambda: F.lower("robots_directives").contains("noindex"), lambda: {"directive": _c("robots_directives")}),
         ("WEAK_GENERIC_TITLE", "onpage", "medium", "Title says nothing", lambda: F.lower(web_trim(_c("title"))).isin(WEAK_TITLES), dict),
-        ("THIN_CONTENT", "onpage", "medium", "Little text", lambda: ok & (_c("word_count") < 300), lambda: {"wordCount": _c("word_count")}),
+        ("THIN_CONTENT", "onpage", "medium", "Little text", lambda: ok() & (_c("word_count") < 300), lambda: {"wordCount": _c("word_count")}),
         ("IMAGES_MISSING_ALT", "onpage", "medium", "Images without alternative text", lambda: F.size(_no_alt()) > 0, lambda: {"count": F.size(_no_alt()), "sampleImages": F.slice(F.transform(_no_alt(), lambda i: i["src"]), 1, 5)}),
-        ("NO_INTERNAL_OUTBOUND_LINKS", "onpage", "low", "No links within the site", lambda: ok & (_n("internal_links") == 0), dict),
+        ("NO_INTERNAL_OUTBOUND_LINKS", "onpage", "low", "No links within the site", lambda: ok() & (_n("internal_links") == 0), dict),
         ("NON_DESCRIPTIVE_ANCHOR", "onpage", "low", "Link texts say nothing", lambda: F.size(_weak_links()) > 0, lambda: {"count": F.size(_weak_links()), "sampleTargets": F.slice(F.transform(_weak_links(), lambda a: a["url"]), 1, 3)}),
         ("URL_TOO_LONG", "onpage", "low", "Long URL", lambda: _len("url") > 100, dict),
-        ("URL_HAS_UPPERCASE", "onpage", "low", "Capitals in the URL", lambda: path.rlike("[A-Z]"), dict),
-        ("URL_HAS_UNDERSCORES", "onpage", "low", "Underscores in the URL", lambda: path.contains("_"), dict),
-        ("EXCESSIVE_URL_PARAMETERS", "onpage", "low", "Many URL fields", lambda: path.isNotNull() & (query_fields(_c("url")) > 3), dict),
-        ("MISSING_STRUCTURED_DATA", "onpage", "low", "No structured data", lambda: ok & ~_sure(_c("has_structured_data")) & (_c("depth") <= 1), dict),
+        ("URL_HAS_UPPERCASE", "onpage", "low", "Capitals in the URL", lambda: path().rlike("[A-Z]"), dict),
+        ("URL_HAS_UNDERSCORES", "onpage", "low", "Underscores in the URL", lambda: path().contains("_"), dict),
+        ("EXCESSIVE_URL_PARAMETERS", "onpage", "low", "Many URL fields", lambda: path().isNotNull() & (query_fields(_c("url")) > 3), dict),
+        ("MISSING_STRUCTURED_DATA", "onpage", "low", "No structured data", lambda: ok() & ~_sure(_c("has_structured_data")) & (_c("depth") <= 1), dict),
         ("POOR_READABILITY", "onpage", "medium", "Hard to read", lambda: (_c("word_count") > 150) & (_c("flesch_score") < 45), lambda: {"fleschScore": _c("flesch_score")}),
-        ("NO_HTTPS", "security", "high", "Not encrypted", lambda: ~https, dict),
+        ("NO_HTTPS", "security", "high", "Not encrypted", lambda: ~https(), dict),
         ("INVALID_SSL_CERT", "security", "critical", "Certificate not valid", lambda: ~_c("ssl_valid"), dict),
         ("SSL_EXPIRING_SOON", "security", "medium", "Certificate ends soon", lambda: _sure(F.coalesce(_c("ssl_valid"), F.lit(True)) & (_c("ssl_days_remaining") > 0) & (_c("ssl_days_remaining") < 15)), lambda: {"daysRemaining": _c("ssl_days_remaining")}),
         ("MIXED_CONTENT", "security", "medium", "Unencrypted parts", lambda: _n("mixed_content") > 0, lambda: {"count": F.size("mixed_content"), "sampleResources": F.slice("mixed_content", 1, 5)}),
-        ("MISSING_HSTS", "security", "low", "No transport security header", lambda: secured & https & lacks("hsts"), dict),
-        ("MISSING_X_CONTENT_TYPE", "security", "low", "No content type header", lambda: secured & lacks("x_content_type_options"), dict),
-        ("MISSING_X_FRAME_OPTIONS", "security", "low", "No framing header", lambda: secured & lacks("x_frame_options") & lacks("csp"), dict),
+        ("MISSING_HSTS", "security", "low", "No transport security header", lambda: secured() & https() & lacks("hsts"), dict),
+        ("MISSING_X_CONTENT_TYPE", "security", "low", "No content type header", lambda: secured() & lacks("x_content_type_options"), dict),
+        ("MISSING_X_FRAME_OPTIONS", "security", "low", "No framing header", lambda: secured() & lacks("x_frame_options") & lacks("csp"), dict),
         ("A11Y_IMAGES_MISSING_ALT", "accessibility", "medium", "Images closed to screen readers", lambda: F.size(_no_alt()) > 0, lambda: {"count": F.size(_no_alt())}),
-        ("A11Y_MISSING_H1", "accessibility", "medium", "No heading to go to", lambda: ok & (_n("h1_list") == 0), dict),
+        ("A11Y_MISSING_H1", "accessibility", "medium", "No heading to go to", lambda: ok() & (_n("h1_list") == 0), dict),
     ]
     for code, category, severity, name, test, detail in rows:
         add(code, category, severity, name, detail)(test)
