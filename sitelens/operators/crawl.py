@@ -9,6 +9,10 @@ from sitelens.functions.urls import normal_url, url_host
 from sitelens.session import cut
 
 
+#: Seeds are queued before any link: their keys are lower.
+SEEDS_FIRST = 10**15
+
+
 def crawl_order(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_pages: int = 25) -> DataFrame:
     """(scan_id, url, depth, ord): the pages of each scan in the order they are met.
 
@@ -21,7 +25,7 @@ def crawl_order(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_page
     norm = cut(edges.select("scan_id", normal_url(F.col("from_url")).alias("from_url"), "link_ord", normal_url(F.col("target_url")).alias("url")).where("url is not null"))
     homes = seeds.groupBy("scan_id").agg(F.min_by(url_host(F.col("url")), F.struct("depth", "seed_ord")).alias("home"))
     first = seeds.withColumn("url", normal_url(F.col("url")))
-    level = first.groupBy("scan_id", "url").agg(F.min(F.struct("depth", "seed_ord")).alias("k")).select("scan_id", "url", F.col("k.depth").alias("depth"), F.col("k.seed_ord").alias("key"))
+    level = first.groupBy("scan_id", "url").agg(F.min(F.struct("depth", "seed_ord")).alias("k")).select("scan_id", "url", F.col("k.depth").alias("depth"), (F.col("k.seed_ord") - SEEDS_FIRST).cast("bigint").alias("key"))
     met = None
     waiting = level
     for depth in range(max_depth + 1):

@@ -85,8 +85,8 @@ def sitemap_urls(roots: DataFrame, files: DataFrame, depth: int = 5, most: int =
     An index leads to its first five children, level by level, each file once.
     Addresses are distinct, in order, at most ``most`` for each root.
     """
-    loc = lambda tag: F.transform(F.regexp_extract_all("xml", F.lit(rf"(?is)<{tag}>.*?<loc>([^<]+)</loc>.*?</{tag}>"), F.lit(1)), F.trim)
-    any_loc = F.filter(F.transform(F.regexp_extract_all("xml", F.lit(r"(?is)<loc>([^<]+)</loc>"), F.lit(1)), F.trim), lambda u: ~u.endswith(".xml"))
+    loc = lambda tag: F.transform(F.regexp_extract_all("xml", F.lit(rf"(?is)<{tag}>.*?<loc>([^<]+)</loc>.*?</{tag}>"), F.lit(1)), lambda u: F.trim(u))
+    any_loc = F.filter(F.transform(F.regexp_extract_all("xml", F.lit(r"(?is)<loc>([^<]+)</loc>"), F.lit(1)), lambda u: F.trim(u)), lambda u: ~u.endswith(".xml"))
     read = files.select("sitemap_url", loc("sitemap").alias("children"), F.when(F.size(loc("url")) > 0, loc("url")).otherwise(any_loc).alias("urls"))
     level = roots.select(F.col("sitemap_url").alias("root"), "sitemap_url", F.lit("").alias("place"))
     seen, out = level.select("root", "sitemap_url"), None
