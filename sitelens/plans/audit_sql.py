@@ -77,6 +77,25 @@ one AS (SELECT doc_id, md5(unnest(s)) AS m FROM sh),
 votes AS (SELECT doc_id, b, sum(CASE WHEN (('0x' || substr(m, 2 * (b // 8) + 1, 2))::INTEGER >> (b % 8)) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM one, range(64) AS r(b) GROUP BY ALL),
 sim AS (SELECT d.doc_id, coalesce(s, repeat('0', 64)) AS simhash, length(text) AS chars FROM d LEFT JOIN (SELECT doc_id, string_agg(CASE WHEN v > 0 THEN '1' ELSE '0' END, '' ORDER BY b) AS s FROM votes GROUP BY doc_id) USING (doc_id))"""
 _WITH = lambda *parts: "WITH " + ", ".join(parts) + " "
+def _normal(c: str) -> str:
+    """The normal form of the plain URLs in the tables: no fragment, no tracking fields, no final slash."""
+    bare = f"regexp_replace({c}, '#.*$', '')"
+    fields = f"list_filter(string_split(regexp_extract({bare}, '[?](.*)$', 1), '&'), lambda f: f <> '' AND NOT regexp_matches(f, '^(utm_source|utm_medium|utm_campaign|fbclid|gclid)(=|$)'))"
+    path = f"regexp_replace({bare}, '[?].*$', '')"
+    slash = f"CASE WHEN regexp_matches({path}, '^https?://[^/]+$') THEN {path} || '/' WHEN regexp_matches({path}, '^https?://[^/]+/.+/$') THEN {path}[:-2] ELSE {path} END"
+    host = f"lower(regexp_extract({c}, '^https?://[^/?#]+'))"
+    return f"replace({slash}, regexp_extract({c}, '^https?://[^/?#]+'), {host}) || CASE WHEN len({fields}) > 0 THEN '?' || array_to_string({fields}, '&') ELSE '' END"
+
+
+_PSIM = _SIM.replace("doc_id", "page_id").replace("text", "body_text").replace(" FROM d", " FROM p").replace("d.page_id", "p.page_id")
+_MARK_LISTS = {
+    "shopify": (4, ["cdn.shopify.com", "Shopify.theme", "myshopify.com"]), "wordpress": (4, ["/wp-content/", "/wp-includes/", "wp-json"]), "woocommerce": (5, ["woocommerce", "wc-api", "wc-cart"]), "webflow": (5, ["data-wf-page", "assets.website-files.com", "uploads-ssl.webflow.com"]),
+    "wix": (5, ["parastorage.com", "wix.com", "wix-warmup-data"]), "squarespace": (5, ["squarespace.com", "static1.squarespace.com"]), "nextjs": (5, ["__NEXT_DATA__", "_next/static"]),
+}
+_POINTS = ", ".join(f"sum(CASE WHEN {' OR '.join(f"contains(raw, '{m}')" for m in ms)} THEN {n} ELSE 0 END" + (" + CASE WHEN contains(u, '/collections/') OR contains(u, '/products/') THEN 2 ELSE 0 END" if k == "shopify" else "") + f") AS {k}" for k, (n, ms) in _MARK_LISTS.items())
+_ORDER = ["shopify", "woocommerce", "wordpress", "webflow", "wix", "squarespace", "nextjs"]
+_ADVICE = """CASE family WHEN 'links' THEN 'Point the links at pages that answer, or redirect the old addresses.' WHEN 'titles' THEN 'Give every page a title of its own of at most 60 characters.' WHEN 'descriptions' THEN 'Describe every page in 120 to 158 characters.'
+  WHEN 'structured_data' THEN 'Describe the page''s subject in JSON-LD and validate it.' WHEN 'product_urls' THEN 'Link to products by their own URL and not by a collection''s.' WHEN 'loading' THEN 'Load the main image first and scripts later.' ELSE 'Review the pages listed and scan again.' END"""
 _RECS = f"""rec AS (SELECT scan_id, code, severity, affected, CASE WHEN severity IN ('critical','high') THEN 'high' ELSE 'medium' END AS priority,
   CASE WHEN code IN ('BROKEN_INTERNAL_LINK','PAGE_NOT_FOUND_4XX') THEN 'links' WHEN code IN ('MISSING_TITLE','DUPLICATE_TITLE') THEN 'titles' WHEN code = 'MISSING_META_DESCRIPTION' THEN 'descriptions'
        WHEN code IN ('MISSING_STRUCTURED_DATA','MISSING_PRODUCT_SCHEMA') THEN 'structured_data' WHEN code = 'SHOPIFY_COLLECTION_PRODUCT_DUPLICATE' THEN 'product_urls' WHEN code IN ('POOR_LCP','NEEDS_WORK_LCP') THEN 'loading' ELSE 'other' END AS family
@@ -145,4 +164,12 @@ SQL = {
     "pages_with_metrics": _WITH(_SP) + "SELECT page_id, perf_score, tbt FROM sp JOIN (SELECT DISTINCT ON (page_id) * FROM page_metrics) USING (page_id) WHERE perf_score IS NOT NULL",
     "recommendations": _WITH(_IS, _RECS) + "SELECT scan_id, rank, code, phase, priority, effort, affected FROM rec3",
     "weighted_mean": "SELECT l_returnflag AS flag, sum(l_linenumber)::BIGINT AS clicks, sum(l_quantity::INTEGER)::BIGINT AS impressions, floor(sum(floor(l_extendedprice)::BIGINT * l_quantity::INTEGER)::DOUBLE / sum(l_quantity::INTEGER) * 10 + 0.5)::BIGINT AS position_tenths FROM lineitem GROUP BY l_returnflag",
+    "normal_urls": _WITH(_SP) + f"SELECT scan_id, {_normal('url')} AS normal_url, count(*) AS n, count(DISTINCT url) AS spellings FROM sp GROUP BY ALL",
+    "orphan_pages": _WITH(_P, _SC, _LINKS, f"t AS (SELECT scan_id, {_normal('l.url')} AS u FROM links UNION SELECT scan_id, {_normal('root_url')} FROM sc)") + f"SELECT p.scan_id, page_id, url FROM p WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.scan_id = p.scan_id AND t.u = {_normal('p.url')})",
+    "platforms": _WITH(_P, f"""pts AS (SELECT scan_id, {_POINTS} FROM (SELECT scan_id, lower(coalesce(url, '')) AS u, coalesce(body_text, '') || ' ' || coalesce(headers::VARCHAR, '') || ' ' || coalesce(images::VARCHAR, '') || ' ' || coalesce(internal_links::VARCHAR, '') AS raw
+        FROM p QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY page_ord, page_id) <= 10) GROUP BY scan_id)""") + "SELECT scan_id, CASE " + " ".join(f"WHEN {k} >= 4 THEN '{k}'" for k in _ORDER) + " ELSE 'custom' END AS platform, CASE " + " ".join(f"WHEN {k} >= 4 THEN least(100, {k} * 20)" for k in _ORDER) + " ELSE 50 END::INTEGER AS confidence FROM pts",
+    "near_duplicate_pages": _WITH(_P, _PSIM, "s AS (SELECT sim.page_id, p.scan_id, page_ord, simhash FROM sim JOIN p USING (page_id) WHERE chars >= 50)")
+    + "SELECT a.scan_id, a.page_id AS id_a, b.page_id AS id_b, hamming(a.simhash, b.simhash)::INTEGER AS distance, floor((64 - hamming(a.simhash, b.simhash)) / 64.0 * 100 + 0.5)::INTEGER AS similarity FROM s a JOIN s b ON a.scan_id = b.scan_id AND (a.page_ord < b.page_ord OR a.page_ord = b.page_ord AND a.page_id < b.page_id) WHERE hamming(a.simhash, b.simhash) BETWEEN 1 AND 6",
+    "action_plan": _WITH(_IS, _RECS) + f"SELECT * FROM (SELECT scan_id, phase, {_ADVICE} AS advice, min(rank) AS rank FROM rec3 GROUP BY scan_id, phase, advice) QUALIFY row_number() OVER (PARTITION BY scan_id, phase ORDER BY rank) <= 6",
+    "opportunities": "SELECT DISTINCT ON (metric_id) metric_id, coalesce(json_array_length(opportunities), 0)::INTEGER AS n_opportunities FROM page_metrics",
 }
