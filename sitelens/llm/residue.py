@@ -22,6 +22,8 @@ from sitelens.llm.phrases import IN_USE, LOREM, NOTICES, OPENERS, SPOKEN_OF, STA
 WINDOW = 32
 COVERAGE = 0.5
 FEW_WORDS = 40
+#: Least gain in nats of the mark model over prose and furniture at a mark.
+LEAST_GAIN = 1.0
 
 #: The forms of template marks (o and f stand for two parts of a name) and values of unset variables.
 MARKS = ["{{o_f}}", "{{ o.f }}", "{{oF}}", "<%= o.f %>", "<% o_f %>", "${o.f}", "#{o_f}", "@@o-f@@", "[[o_f]]", "[your o.f here]", "[INSERT o-f]", "{$o_f}", "{o-f}", "%oF%", "%o_f%", "{%o%}", "TODO write this part"]
@@ -99,7 +101,7 @@ class ResidueModel:
             as_mark = self.models[4].log_probabilities(slots)
             as_text = np.maximum(self.models[0].log_probabilities(slots), self.models[1].log_probabilities(slots))
             gain = np.cumsum(as_mark - as_text)
-            if (gain - np.minimum.accumulate(np.concatenate([[0], gain[:-1]]))).max() < 3:
+            if (gain - np.minimum.accumulate(np.concatenate([[0], gain[:-1]]))).max() < LEAST_GAIN:
                 continue
             before = re.split(r"[.!?\n]\s", text[max(0, match.start() - 60) : match.start()])[-1]
             after = re.split(r"(?<=[.!?])\s|\n", text[match.end() : match.end() + 60])[0]
