@@ -14,26 +14,43 @@ from sitelens.tables import latest, load
 S, D = SparkSession, DataFrame
 
 
-def pages(spark: S, folder: str) -> D:
-    return latest(load(spark, folder, "crawled_pages"), "page_id")
+#: Columns the page rules read.
+RULE_COLUMNS = [
+    "status_code", "title", "meta_description", "h1_list", "headings", "canonical_url", "robots_directives", "word_count", "images", "internal_links", "depth", "has_structured_data", "flesch_score", "ssl_valid", "ssl_days_remaining", "mixed_content", "security_headers",
+]
 
 
-def stored(spark: S, folder: str) -> D:
-    return latest(load(spark, folder, "site_pages"), "page_id")
+def _read(spark: S, folder: str, table: str, key: str, columns: tuple[str, ...]) -> D:
+    """The counting rows with these columns only: they are chosen before the shuffle, so the scan reads no more."""
+    return latest(load(spark, folder, table).select(*dict.fromkeys([key, *columns, "ingested_at"])), key)
 
 
-def issues(spark: S, folder: str) -> D:
+def pages(spark: S, folder: str, *columns: str) -> D:
+    """Crawled pages with their keys and ``columns``."""
+    return _read(spark, folder, "crawled_pages", "page_id", ("scan_id", "page_ord", "url", *columns))
+
+
+def stored(spark: S, folder: str, *columns: str) -> D:
+    """Stored pages with scan, URL and ``columns``."""
+    return _read(spark, folder, "site_pages", "page_id", ("scan_id", "url", *columns))
+
+
+def documents(spark: S, folder: str) -> D:
+    return _read(spark, folder, "documents", "doc_id", ("text", "url"))
+
+
+def issues(spark: S, folder: str, *columns: str) -> D:
     """Stored issues with categories in one spelling."""
-    return latest(load(spark, folder, "issues"), "issue_id").withColumn("category", F.lower("category"))
+    return _read(spark, folder, "issues", "issue_id", ("scan_id", "page_id", "category", "code", "severity", *columns)).withColumn("category", F.lower("category"))
 
 
-def scans(spark: S, folder: str) -> D:
-    return latest(load(spark, folder, "scans"), "scan_id")
+def scans(spark: S, folder: str, *columns: str) -> D:
+    return _read(spark, folder, "scans", "scan_id", ("root_url", *columns))
 
 
 def found_issues(spark: S, folder: str) -> D:
     """Every issue the page rules, the cross-page rules and the vitals rules find in crawled pages; issue_ord keeps the order of evaluation."""
-    p = pages(spark, folder)
+    p = pages(spark, folder, *RULE_COLUMNS, "final_url", "external_links")
     each = page_issues(p).drop("page_ord")
     site = [site_rules.duplicate_titles(p), site_rules.duplicate_descriptions(p), site_rules.broken_internal_links(p), site_rules.redirect_chains(p), site_rules.broken_external_links(p)]
     out = each
@@ -43,11 +60,11 @@ def found_issues(spark: S, folder: str) -> D:
 
 
 def page_issue_rows(spark: S, folder: str) -> D:
-    return page_issues(pages(spark, folder)).select("page_id", "code", "category", "severity")
+    return page_issues(pages(spark, folder, *RULE_COLUMNS)).select("page_id", "code", "category", "severity")
 
 
 def heading_jumps(spark: S, folder: str) -> D:
-    found = page_issues(pages(spark, folder)).where("code = 'BROKEN_HEADING_HIERARCHY'")
+    found = page_issues(pages(spark, folder, *RULE_COLUMNS)).where("code = 'BROKEN_HEADING_HIERARCHY'")
     j = F.from_json("detail", "jumpedFrom int, jumpedTo int")
     return found.select("page_id", j["jumpedFrom"].alias("jumped_from"), j["jumpedTo"].alias("jumped_to"))
 
@@ -57,88 +74,88 @@ def issue_code_counts(spark: S, folder: str) -> D:
 
 
 def duplicate_titles(spark: S, folder: str) -> D:
-    return site_rules.duplicate_field(pages(spark, folder), "title").select("page_id", "n")
+    return site_rules.duplicate_field(pages(spark, folder, "title"), "title").select("page_id", "n")
 
 
 def duplicate_descriptions(spark: S, folder: str) -> D:
-    return site_rules.duplicate_field(pages(spark, folder), "meta_description", 10).select("page_id", "n")
+    return site_rules.duplicate_field(pages(spark, folder, "meta_description"), "meta_description", 10).select("page_id", "n")
 
 
 def links_exploded(spark: S, folder: str) -> D:
-    return site_rules.links(pages(spark, folder)).select("page_id", "link_ord", "target_url", "anchor_text")
+    return site_rules.links(pages(spark, folder, "internal_links")).select("page_id", "link_ord", "target_url", "anchor_text")
 
 
 def link_counts(spark: S, folder: str) -> D:
-    p = pages(spark, folder)
+    p = pages(spark, folder, "internal_links", "external_links", "images")
     return p.select("page_id", F.coalesce(F.size("internal_links"), F.lit(0)).alias("n_internal"), F.coalesce(F.size("external_links"), F.lit(0)).alias("n_external"), F.coalesce(F.size(F.filter("images", lambda i: i["alt"].isNull() | (F.trim(i["alt"]) == ""))), F.lit(0)).alias("n_no_alt"))
 
 
 def broken_links(spark: S, folder: str) -> D:
-    found = site_rules.broken_internal_links(pages(spark, folder))
+    found = site_rules.broken_internal_links(pages(spark, folder, "internal_links", "final_url", "status_code"))
     d = F.from_json("detail", "targetUrl string, targetStatus int")
     return found.select("page_id", d["targetUrl"].alias("target_url"), d["targetStatus"].alias("target_status"))
 
 
 def external_broken(spark: S, folder: str) -> D:
     d = F.from_json("detail", "target string, status int")
-    return site_rules.broken_external_links(pages(spark, folder)).select("page_id", d["target"].alias("target_url"), d["status"].alias("status"))
+    return site_rules.broken_external_links(pages(spark, folder, "external_links")).select("page_id", d["target"].alias("target_url"), d["status"].alias("status"))
 
 
 def redirected(spark: S, folder: str) -> D:
     d = F.from_json("detail", "target string, hops int")
-    return site_rules.redirect_chains(pages(spark, folder)).select("page_id", d["target"].alias("target_url"), d["hops"].alias("hops"))
+    return site_rules.redirect_chains(pages(spark, folder, "internal_links")).select("page_id", d["target"].alias("target_url"), d["hops"].alias("hops"))
 
 
 def orphan_pages(spark: S, folder: str) -> D:
     """Crawled pages, taken as their scan's sitemap, that no page of the scan links to."""
-    p = pages(spark, folder)
+    p = pages(spark, folder, "internal_links")
     listed = p.select("scan_id", "url", "page_id", F.col("page_ord").alias("ord"))
     return site_rules.orphans(listed, p, scans(spark, folder), normal_url).select("scan_id", "page_id", "url")
 
 
 def platforms(spark: S, folder: str) -> D:
-    return site_rules.platforms(pages(spark, folder)).select("scan_id", "platform", "confidence")
+    return site_rules.platforms(pages(spark, folder, "body_text", "headers", "images", "internal_links")).select("scan_id", "platform", "confidence")
 
 
 def platform_rules(spark: S, folder: str) -> D:
-    p = pages(spark, folder)
+    p = pages(spark, folder, "body_text", "headers", "images", "internal_links", "canonical_url", "structured_data_types")
     return site_rules.platform_issues(p, site_rules.platforms(p)).select("page_id", "code")
 
 
 def exact_duplicates(spark: S, folder: str) -> D:
-    docs = latest(load(spark, folder, "documents"), "doc_id")
+    docs = documents(spark, folder)
     groups = duplicates.exact_groups(docs, (), "text", "doc_id", "url", "doc_id")
     return groups.select("content_hash", "n", F.transform("members", lambda m: m["doc_id"])[0].alias("first_doc"))
 
 
 def duplicate_content(spark: S, folder: str) -> D:
-    return site_rules.duplicate_content(pages(spark, folder)).select("page_id", "code")
+    return site_rules.duplicate_content(pages(spark, folder, "body_text")).select("page_id", "code")
 
 
 def simhashes(spark: S, folder: str) -> D:
-    docs = latest(load(spark, folder, "documents"), "doc_id")
+    docs = documents(spark, folder)
     return docs.select("doc_id", bit_string(simhash(F.col("text"))).alias("simhash"))
 
 
 def near_hash_pairs(spark: S, folder: str) -> D:
     """Pairs of different SimHash values of documents at most 6 bits apart."""
-    docs = latest(load(spark, folder, "documents"), "doc_id")
+    docs = documents(spark, folder)
     hashes = docs.where(F.length("text") >= duplicates.LEAST_CHARS).select(simhash(F.col("text")).alias("simhash"))
     pairs = duplicates.near_hashes(hashes, (), "simhash", 6, 9)
     return pairs.select(F.least(bit_string(F.col("h_a")), bit_string(F.col("h_b"))).alias("hash_a"), F.greatest(bit_string(F.col("h_a")), bit_string(F.col("h_b"))).alias("hash_b"), F.col("distance").cast("int").alias("distance"))
 
 
 def near_duplicate_pages(spark: S, folder: str) -> D:
-    return duplicates.near_pairs(pages(spark, folder), ["scan_id"], 6).select("scan_id", "id_a", "id_b", F.col("distance").cast("int").alias("distance"), "similarity")
+    return duplicates.near_pairs(pages(spark, folder, "body_text"), ["scan_id"], 6).select("scan_id", "id_a", "id_b", F.col("distance").cast("int").alias("distance"), "similarity")
 
 
 def shingle_counts(spark: S, folder: str) -> D:
-    docs = latest(load(spark, folder, "documents"), "doc_id")
+    docs = documents(spark, folder)
     return docs.select("doc_id", F.size(shingles(F.col("text"))).alias("n_shingles"), content_hash(F.col("text")).alias("content_hash"))
 
 
 def readability(spark: S, folder: str) -> D:
-    docs = latest(load(spark, folder, "documents"), "doc_id")
+    docs = documents(spark, folder)
     return docs.select("doc_id", reading_ease(F.col("text")).alias("flesch"))
 
 
@@ -157,7 +174,7 @@ def normal_urls(spark: S, folder: str) -> D:
 
 
 def vitals(spark: S, folder: str) -> D:
-    return site_rules.estimated_vitals(pages(spark, folder), "page_id").drop("n_opportunities").withColumns({"lcp": F.round(F.col("lcp") * 100).cast("int"), "fcp": F.round(F.col("fcp") * 100).cast("int"), "cls": F.round(F.col("cls") * 100).cast("int")})
+    return site_rules.estimated_vitals(pages(spark, folder, "response_time_ms", "images", "word_count"), "page_id").drop("n_opportunities").withColumns({"lcp": F.round(F.col("lcp") * 100).cast("int"), "fcp": F.round(F.col("fcp") * 100).cast("int"), "cls": F.round(F.col("cls") * 100).cast("int")})
 
 
 def vitals_issues(spark: S, folder: str) -> D:
@@ -186,7 +203,7 @@ def scan_scores(spark: S, folder: str) -> D:
 
 
 def top_deductions(spark: S, folder: str) -> D:
-    numbered = issues(spark, folder).withColumnRenamed("issue_id", "issue_ord")
+    numbered = issues(spark, folder, "title").withColumnRenamed("issue_id", "issue_ord")
     return scores.deductions(numbered).select("scan_id", "rank", "category", "code", "severity", "deduction", "n")
 
 
@@ -199,7 +216,7 @@ def first_issues(spark: S, folder: str) -> D:
 
 
 def issues_with_pages(spark: S, folder: str) -> D:
-    return read_model.issues_with_pages(issues(spark, folder), stored(spark, folder)).select("issue_id", "url", "status_code")
+    return read_model.issues_with_pages(issues(spark, folder), stored(spark, folder, "title", "status_code")).select("issue_id", "url", "status_code")
 
 
 def issue_filter(spark: S, folder: str) -> D:
@@ -207,30 +224,30 @@ def issue_filter(spark: S, folder: str) -> D:
 
 
 def page_search(spark: S, folder: str) -> D:
-    return read_model.page_search(stored(spark, folder), "Garden", "200").select("page_id", "url", "title")
+    return read_model.page_search(stored(spark, folder, "title", "status_code"), "Garden", "200").select("page_id", "url", "title")
 
 
 def page_list(spark: S, folder: str) -> D:
     """The second page of fifty of all pages by depth, with the number of issues of each."""
-    p = stored(spark, folder).select("page_id", "url", "depth")
+    p = stored(spark, folder, "depth").select("page_id", "url", "depth")
     listed = read_model.paged(p, "depth", "page_id", page=2)
     return read_model.with_counts(listed, "page_id", n_issues=issues(spark, folder))
 
 
 def recent_scans(spark: S, folder: str) -> D:
-    return read_model.paged(scans(spark, folder).select("scan_id", "root_url", "status", "created_at"), F.desc("created_at"), "scan_id", size=20)
+    return read_model.paged(scans(spark, folder, "status", "created_at").select("scan_id", "root_url", "status", "created_at"), F.desc("created_at"), "scan_id", size=20)
 
 
 def scan_summary(spark: S, folder: str) -> D:
-    return read_model.scan_summary(scans(spark, folder), stored(spark, folder), issues(spark, folder))
+    return read_model.scan_summary(scans(spark, folder, "status", "overall_score"), stored(spark, folder), issues(spark, folder))
 
 
 def export_issues(spark: S, folder: str) -> D:
-    return read_model.export_issues(issues(spark, folder), stored(spark, folder), scans(spark, folder))
+    return read_model.export_issues(issues(spark, folder, "message"), stored(spark, folder), scans(spark, folder))
 
 
 def root_pages(spark: S, folder: str) -> D:
-    return read_model.root_page(stored(spark, folder), scans(spark, folder)).select("scan_id", "page_id")
+    return read_model.root_page(stored(spark, folder, "page_ord"), scans(spark, folder)).select("scan_id", "page_id")
 
 
 def nested_scans(spark: S, folder: str) -> D:
@@ -259,7 +276,7 @@ def weighted_mean(spark: S, folder: str) -> D:
 
 def crawl_levels(spark: S, folder: str) -> D:
     """The stored pages of each scan met from its first page over internal links."""
-    p = pages(spark, folder)
+    p = pages(spark, folder, "internal_links")
     seeds = p.groupBy("scan_id").agg(F.min_by("url", F.struct("page_ord", "page_id")).alias("url")).select("scan_id", "url", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("seed_ord"))
     edges = site_rules.links(p).select("scan_id", "from_url", "link_ord", "target_url")
     return crawl.crawl_order(seeds, edges, 2, 100)

@@ -15,7 +15,8 @@ def latest(df: DataFrame, key: str, stamp: str = "ingested_at") -> DataFrame:
 
     Rows without a key are dropped; a null stamp loses to any other. Rows
     that tie on the stamp are told apart by a hash of their content, so that
-    the choice does not depend on the partitioning. The row_number filter
+    the choice does not depend on the partitioning. Select the columns needed
+    before: all columns of ``df`` are read and shuffled. The row_number filter
     is planned as a group limit, which drops older rows before the shuffle.
     """
     if stamp not in df.columns:
