@@ -31,7 +31,7 @@ def crawl_order(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_page
     for depth in range(max_depth + 1):
         here = waiting.where(F.col("depth") == depth)
         rank = F.row_number().over(Window.partitionBy("scan_id").orderBy("key", "url"))
-        ranked = here.withColumn("r", rank)
+        ranked = here.withColumn("r", rank).where(F.col("r") <= max_pages)
         if met is not None:
             used = met.groupBy("scan_id").agg(F.count("*").alias("used"))
             ranked = ranked.join(used, "scan_id", "left").withColumn("used", F.coalesce("used", F.lit(0)))

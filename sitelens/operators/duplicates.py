@@ -15,17 +15,21 @@ from sitelens.session import cut
 LEAST_CHARS = 50
 
 
-def exact_groups(pages: DataFrame, within: Sequence[str] = (), text: str = "body_text", key: str = "page_id", label: str = "url", order: str = "page_ord") -> DataFrame:
-    """(within, content_hash, n, members): groups of two or more equal texts; members (order, key, label) in order.
+def exact_members(pages: DataFrame, within: Sequence[str] = (), text: str = "body_text", key: str = "page_id", label: str = "url", order: str = "page_ord") -> DataFrame:
+    """(within, content_hash, key, label, order, n): every row of a group of two or more equal texts, with the group's size.
 
-    Texts that are null or shorter than 50 characters are left out. Groups of
-    one are dropped by their count before any list is built.
+    Texts that are null or shorter than 50 characters are left out. Groups are
+    counted by their hash; texts are not shuffled and no group is listed.
     """
-    member = dict.fromkeys([order, key, label])
-    rows = pages.where(F.length(text) >= LEAST_CHARS).select(*within, *member, content_hash(F.col(text)).alias("content_hash"))
+    rows = pages.where(F.length(text) >= LEAST_CHARS).select(*within, *dict.fromkeys([order, key, label]), content_hash(F.col(text)).alias("content_hash"))
     many = rows.groupBy(*within, "content_hash").agg(F.count("*").alias("n")).where("n > 1")
-    listed = rows.join(many, [*within, "content_hash"])
-    return listed.groupBy(*within, "content_hash").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(*member))).alias("members"))
+    return rows.join(many, [*within, "content_hash"])
+
+
+def exact_groups(pages: DataFrame, within: Sequence[str] = (), text: str = "body_text", key: str = "page_id", order: str = "page_ord") -> DataFrame:
+    """(within, content_hash, n, first): the groups of equal texts, their sizes and the key of the first row of each."""
+    rows = pages.where(F.length(text) >= LEAST_CHARS).select(*within, *dict.fromkeys([order, key]), content_hash(F.col(text)).alias("content_hash"))
+    return rows.groupBy(*within, "content_hash").agg(F.count("*").alias("n"), F.min(F.struct(*dict.fromkeys([order, key])))[key].alias("first")).where("n > 1")
 
 
 def band_masks(distance: int, blocks: int) -> list[int]:

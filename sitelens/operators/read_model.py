@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.operators.scores import severity_counts, severity_rank
+from sitelens.tables import first_listed
 
 
 def wildcard(column: str, wanted: str | None) -> Column:
@@ -45,18 +46,18 @@ def with_counts(parents: DataFrame, key: str, **children: DataFrame) -> DataFram
 
 
 def issue_groups(issues: DataFrame, urls: DataFrame) -> DataFrame:
-    """(scan_id, code, category, severity, n, urls): issues by code, worst and most frequent first in each scan (column rank).
+    """(scan_id, rank, code, category, severity, n, n_urls, urls): issues by code, worst and most frequent first in each scan.
 
-    ``urls`` are the distinct page URLs in the order of the issues; category and
-    severity are those of the first issue.
+    ``urls`` are the distinct page URLs in the order of the issues (the first
+    thousand; ``n_urls`` counts all); category and severity are those of the first issue.
     """
     rows = issues.join(urls.select("page_id", F.col("url").alias("page_url")), "page_id", "left")
-    by = rows.groupBy("scan_id", "code").agg(
-        F.count("*").alias("n"), F.min_by("category", "issue_id").alias("category"), F.min_by("severity", "issue_id").alias("severity"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("page_url").isNotNull(), F.struct("issue_id", "page_url")))), lambda x: x["page_url"]).alias("__all"),
-    )
+    seen = rows.where("page_url is not null").groupBy("scan_id", "code", "page_url").agg(F.min("issue_id").alias("first_id"))
+    counted = seen.groupBy("scan_id", "code").agg(F.count("*").alias("n_urls")).join(first_listed(seen, ["scan_id", "code"], ["first_id", "page_url"], "page_url", "urls"), ["scan_id", "code"])
+    by = rows.groupBy("scan_id", "code").agg(F.count("*").alias("n"), F.min_by("category", "issue_id").alias("category"), F.min_by("severity", "issue_id").alias("severity"))
     rank = F.row_number().over(Window.partitionBy("scan_id").orderBy(severity_rank(F.col("severity")), F.desc("n"), "code"))
-    return by.select("scan_id", rank.alias("rank"), "code", "category", "severity", "n", F.array_distinct("__all").alias("urls"))
+    none = F.array().cast("array<string>")
+    return by.join(counted, ["scan_id", "code"], "left").select("scan_id", rank.alias("rank"), "code", "category", "severity", "n", F.coalesce("n_urls", F.lit(0)).alias("n_urls"), F.coalesce("urls", none).alias("urls"))
 
 
 def first_of_group(issues: DataFrame, k: int = 3) -> DataFrame:
@@ -116,6 +117,7 @@ def metrics_of_scan(metrics: DataFrame, pages: DataFrame, scan_id: str) -> DataF
 
 
 def nested(scans: DataFrame, pages: DataFrame) -> DataFrame:
-    """Each scan with the list of its pages in order."""
-    lists = pages.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("page_ord", "page_id", "url"))).alias("pages"))
-    return scans.select("scan_id", "root_url").join(lists, "scan_id", "left")
+    """(scan_id, root_url, n_pages, pages): each scan with its first thousand pages in order and the number of all."""
+    rows = pages.select("scan_id", "page_ord", "page_id", F.struct("page_ord", "page_id", "url").alias("page"))
+    lists = first_listed(rows, ["scan_id"], ["page_ord", "page_id"], "page", "pages")
+    return with_counts(scans.select("scan_id", "root_url"), "scan_id", n_pages=pages.select("scan_id")).join(lists, "scan_id", "left")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions.text import web_trim
-from sitelens.operators.duplicates import exact_groups, near_pairs
+from sitelens.operators.duplicates import exact_members, near_pairs
+from sitelens.tables import first_listed
 
 #: Strings that give a platform away in text, headers, images or links, and what each counts.
 SIGNALS = {
@@ -33,26 +34,29 @@ _KEYS = ("scan_id", "page_id", "url")
 
 
 def duplicate_field(pages: DataFrame, field: str, least: int = 0) -> DataFrame:
-    """Pages that share a field (trimmed, in lower case) with others of their scan: (scan_id, page_id, page_ord, url, value, n, shared_urls).
+    """Pages that share a field (trimmed, in lower case) with others of their scan: (scan_id, page_id, page_ord, url, norm, value, n).
 
     Null and blank values, and those of at most ``least`` characters, are not
-    compared. Group sizes are counted apart and joined back on groups above one,
-    so that unique values never meet the window that lists the URLs.
+    compared. Sizes are counted map-side first and joined back.
     """
     value = web_trim(F.col(field))
-    rows = pages.where(F.length(value) > least).select(*_KEYS, "page_ord", F.lower(value).alias("__norm"), value.alias("value"))
-    sizes = rows.groupBy("scan_id", "__norm").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("page_ord", "page_id", "url"))).alias("__all")).where("n > 1")
-    shared = sizes.select("scan_id", "__norm", "n", F.transform("__all", lambda x: x["url"]).alias("shared_urls"))
-    return rows.join(shared, ["scan_id", "__norm"]).drop("__norm")
+    rows = pages.where(F.length(value) > least).select(*_KEYS, "page_ord", F.lower(value).alias("norm"), value.alias("value"))
+    sizes = rows.groupBy("scan_id", "norm").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(sizes, ["scan_id", "norm"])
+
+
+def _with_urls(found: DataFrame, by: list[str]) -> DataFrame:
+    """The rows with column shared_urls, the URLs of their group in page order."""
+    return found.join(first_listed(found, by, ["page_ord", "page_id"], "url", "shared_urls"), by)
 
 
 def duplicate_titles(pages: DataFrame) -> DataFrame:
-    found = duplicate_field(pages, "title")
+    found = _with_urls(duplicate_field(pages, "title"), ["scan_id", "norm"])
     return found.select(*_KEYS, *_issue("technical", "DUPLICATE_TITLE", "high", "Title used more than once", sharedUrls=F.col("shared_urls"), title=F.col("value")))
 
 
 def duplicate_descriptions(pages: DataFrame) -> DataFrame:
-    found = duplicate_field(pages, "meta_description", 10)
+    found = _with_urls(duplicate_field(pages, "meta_description", 10), ["scan_id", "norm"])
     return found.select(*_KEYS, *_issue("technical", "DUPLICATE_META_DESCRIPTION", "medium", "Meta description used more than once", sharedUrls=F.col("shared_urls"), descriptionSnippet=F.substring("value", 1, 80)))
 
 
@@ -115,10 +119,8 @@ def site_files(scans: DataFrame) -> DataFrame:
 
 def duplicate_content(pages: DataFrame) -> DataFrame:
     """One issue for each page whose text equals another's of the scan but for case, marks and spacing."""
-    groups = exact_groups(pages, ["scan_id"])
-    found = pages.where(F.length("body_text") >= 50).select(*_KEYS, F.col("body_text")).join(groups.select("scan_id", F.explode("members").alias("m"), "members"), "scan_id")
-    found = found.where(F.col("m.page_id") == F.col("page_id"))
-    return found.select(*_KEYS, *_issue("technical", "EXACT_DUPLICATE_CONTENT", "medium", "Text found on several pages", duplicateUrls=F.transform("members", lambda m: m["url"])))
+    found = _with_urls(exact_members(pages, ["scan_id"]), ["scan_id", "content_hash"])
+    return found.select(*_KEYS, *_issue("technical", "EXACT_DUPLICATE_CONTENT", "medium", "Text found on several pages", duplicateUrls=F.col("shared_urls")))
 
 
 def near_duplicate_content(pages: DataFrame, most: int = SITE_SAMPLE) -> DataFrame:

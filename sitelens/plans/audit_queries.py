@@ -124,8 +124,7 @@ def platform_rules(spark: S, folder: str) -> D:
 
 def exact_duplicates(spark: S, folder: str) -> D:
     docs = documents(spark, folder)
-    groups = duplicates.exact_groups(docs, (), "text", "doc_id", "url", "doc_id")
-    return groups.select("content_hash", "n", F.transform("members", lambda m: m["doc_id"])[0].alias("first_doc"))
+    return duplicates.exact_groups(docs, (), "text", "doc_id", "doc_id").withColumnRenamed("first", "first_doc")
 
 
 def duplicate_content(spark: S, folder: str) -> D:
@@ -208,7 +207,7 @@ def top_deductions(spark: S, folder: str) -> D:
 
 
 def issue_groups(spark: S, folder: str) -> D:
-    return read_model.issue_groups(issues(spark, folder), stored(spark, folder)).select("scan_id", "rank", "code", "severity", "n", F.size("urls").alias("n_urls"))
+    return read_model.issue_groups(issues(spark, folder), stored(spark, folder)).select("scan_id", "rank", "code", "severity", "n", "n_urls")
 
 
 def first_issues(spark: S, folder: str) -> D:
@@ -251,7 +250,7 @@ def root_pages(spark: S, folder: str) -> D:
 
 
 def nested_scans(spark: S, folder: str) -> D:
-    return read_model.nested(scans(spark, folder), pages(spark, folder)).select("scan_id", F.coalesce(F.size("pages"), F.lit(0)).alias("n_pages"), F.try_element_at("pages", F.lit(1))["page_id"].alias("first_page"))
+    return read_model.nested(scans(spark, folder), pages(spark, folder)).select("scan_id", "n_pages", F.try_element_at("pages", F.lit(1))["page_id"].alias("first_page"))
 
 
 def pages_with_metrics(spark: S, folder: str) -> D:

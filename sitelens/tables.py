@@ -1,4 +1,4 @@
-"""Reading tables and the rows that count in them."""
+"""Reading tables, the rows that count in them, and bounded lists of a group's rows."""
 
 from __future__ import annotations
 
@@ -24,3 +24,19 @@ def latest(df: DataFrame, key: str, stamp: str = "ingested_at") -> DataFrame:
     hashable = [F.to_json(F.struct(c)) if t.startswith("map") else F.col(c) for c, t in df.dtypes]
     rank = Window.partitionBy(key).orderBy(F.col(stamp).desc_nulls_last(), F.xxhash64(*hashable))
     return df.where(F.col(key).isNotNull()).withColumn("__rank", F.row_number().over(rank)).where("__rank = 1").drop("__rank")
+
+
+#: Most entries of a list that is shown with a group; the group's size is always counted in full.
+LISTED = 1000
+
+
+def first_listed(df: DataFrame, by: list[str], order: list[str], value: str, name: str, most: int = LISTED) -> DataFrame:
+    """(by, name): the first ``most`` values of each group in order.
+
+    The limit is planned as a group limit before the shuffle, so no task ever
+    holds more than ``most`` rows of a group, however large it is.
+    """
+    rank = Window.partitionBy(*by).orderBy(*order)
+    first = df.withColumn("__rank", F.row_number().over(rank)).where(F.col("__rank") <= most)
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("__rank").alias("r"), F.col(value).alias("v"))))
+    return first.groupBy(*by).agg(F.transform(pairs, lambda x: x["v"]).alias(name))

@@ -63,3 +63,15 @@ def test_recommendations(spark):
     assert recommend.plan(recommend.recommendations(issues(spark, rows))).count() == 4
     scored = spark.createDataFrame([("s", 80, "B")], "scan_id string, overall int, grade string")
     assert recommend.summary(scored, issues(spark, rows)).first().summary.startswith("Score 80 of 100, grade B; 0 critical and 2 high")
+
+
+def test_lists_are_bounded_and_counts_are_not(spark):
+    from sitelens.tables import first_listed
+
+    df = spark.createDataFrame([("g", i, f"v{i}") for i in range(50)] + [(None, 1, None)], "g string, o int, v string").repartition(7)
+    got = {r.g: r.l for r in first_listed(df, ["g"], ["o"], "v", "l", 5).collect()}
+    assert got == {"g": ["v0", "v1", "v2", "v3", "v4"], None: [None]}
+    rows = [(f"{i:04}", "s", i, "x", "C", "low", "t", "m") for i in range(1100)]
+    urls = spark.createDataFrame([(i, f"u{i:04}") for i in range(1100)], "page_id bigint, url string")
+    row = read_model.issue_groups(issues(spark, rows), urls).first()
+    assert row.n_urls == 1100 and len(row.urls) == 1000 and row.urls[0] == "u0000"
