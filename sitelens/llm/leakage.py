@@ -22,6 +22,8 @@ RUN = 13
 SHINGLE = 5
 #: Most passage shingles that are broadcast (8 bytes each); beyond it the join is shuffled.
 BROADCAST_SHINGLES = 500_000
+#: Most windows (each of ``run`` words, some 200 bytes) that are broadcast.
+BROADCAST_WINDOWS = 100_000
 
 
 def _shingles(tokens: Column, size: int) -> Column:
@@ -52,9 +54,13 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "t
 
     rarity = hits.groupBy("h").agg(F.countDistinct("doc").alias("n_docs"))
     prefix = parts.join(rarity, "h").groupBy("passage_id", "start").agg(F.count("*").alias("found"), F.min(F.struct("n_docs", "h", "offset")).alias("rarest"))
-    prefix = prefix.where(F.col("found") == run - shingle + 1).select("passage_id", "start", "rarest.h", "rarest.offset")
+    prefix = cut(prefix.where(F.col("found") == run - shingle + 1).select("passage_id", "start", "rarest.h", "rarest.offset"))
+    # A passage may leak into a third of all documents: the item side of each join is broadcast while it is small.
+    prefix, _ = small(prefix, BROADCAST_SHINGLES)
     lined_up = hits.join(prefix, "h").where("at >= offset").select("doc", "passage_id", "start", (F.col("at") - F.col("offset")).alias("d_start")).distinct()
 
-    checked = lined_up.join(windows, ["passage_id", "start"]).join(tokens, "doc").where(F.size("d_words") >= F.col("d_start") + run)
+    all_windows, _ = small(windows, BROADCAST_WINDOWS)
+    checked = lined_up.join(all_windows, ["passage_id", "start"]).join(tokens, "doc").where(F.size("d_words") >= F.col("d_start") + run)
     proven = checked.where(F.slice("d_words", F.col("d_start") + 1, run) == F.col("w_words")).select("doc", "passage_id").distinct()
-    return proven.join(listed.select("passage_id", "item"), "passage_id").select(F.col("doc").alias(doc), F.col("item").alias(item)).distinct()
+    names, _ = small(cut(listed.select("passage_id", "item")), BROADCAST_SHINGLES)
+    return proven.join(names, "passage_id").select(F.col("doc").alias(doc), F.col("item").alias(item)).distinct()
