@@ -38,3 +38,22 @@ def plain_source(source: Column) -> Column:
     """One spelling for a source name: lower case, words joined by underscores; blank is null."""
     name = F.regexp_replace(F.regexp_replace(F.lower(source), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
     return F.when(name != "", name)
+
+
+#: Rows of one key from which a join spreads it, the tasks it is spread over, and the most such keys that are broadcast.
+HOT_ROWS, SPREAD, HOT_KEYS = 100_000, 64, 1_000_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, by: str, rows: int = HOT_ROWS) -> DataFrame:
+    """``left`` joined with ``right`` (one row a key, ``n`` rows of ``left`` each) with hot keys spread over tasks.
+
+    Keys with more than ``rows`` rows are salted by a hash of ``by`` on the left
+    and repeated on the right; there are at most count / rows of them, which
+    is checked before they are broadcast. Without hot keys it is a plain join.
+    """
+    hot, fits = small(right.where(F.col(n) > rows).select(key), HOT_KEYS)
+    if not fits or hot.isEmpty():
+        return left.join(right.drop(n), key)
+    salted = left.join(hot.withColumn("__hot", F.lit(True)), key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")).otherwise(0)).drop("__hot")
+    spread = right.withColumn("__salt", F.explode(F.when(F.col(n) > rows, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))).drop(n)
+    return salted.join(spread, [key, "__salt"]).drop("__salt")
