@@ -21,8 +21,8 @@ PAGE_DDL = (
     "security_headers struct<hsts:boolean,csp:boolean,x_content_type_options:boolean,x_frame_options:boolean,referrer_policy:boolean>"
 )
 GOOD = {
-    "scan_id": "s", "page_id": 1, "page_ord": 0, "url": "https://example.com/test", "final_url": "https://example.com/test", "status_code": 200, "response_time_ms": 150, "title": "A Valid SEO Title for Testing Purposes Here",
-    "meta_description": "A description that is long enough to pass the lower bound and short enough for the upper one.", "h1_list": ["Primary H1 Topic Title"], "headings": [(1, "Primary H1 Topic Title")], "canonical_url": "https://example.com/test",
+    "scan_id": "s", "page_id": 1, "page_ord": 0, "url": "https://example.com/test", "final_url": "https://example.com/test", "status_code": 200, "response_time_ms": 150, "title": "A title of a fitting length for every test",
+    "meta_description": "A description that is long enough to pass the lower bound and short enough for the upper one.", "h1_list": ["What this page is about"], "headings": [(1, "What this page is about")], "canonical_url": "https://example.com/test",
     "robots_directives": "index, follow", "word_count": 650, "body_text": "Sample body text", "images": [("/logo.png", "Company Logo", None, None)], "internal_links": [("https://example.com/about", "About Us", None, None)], "external_links": [],
     "depth": 0, "headers": {}, "has_structured_data": True, "structured_data_types": ["Organization"], "flesch_score": 65, "ssl_valid": None, "ssl_days_remaining": None, "mixed_content": None, "security_headers": None,
 }
