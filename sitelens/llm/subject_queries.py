@@ -11,8 +11,9 @@ from sitelens.tables import load
 
 
 def _classified(spark: SparkSession, folder: str) -> DataFrame:
-    docs = documents(spark, folder, "text", "source").withColumn("source", plain_source(F.col("source")))
-    return classify(docs, fit(docs, load(spark, folder, "doc_labels"), load(spark, folder, "subjects")))
+    delivered = load(spark, folder, "documents").select("doc_id", "text", plain_source(F.col("source")).alias("source"), "ingested_at")
+    model = fit(delivered, load(spark, folder, "doc_labels"), load(spark, folder, "subjects"))
+    return classify(documents(spark, folder, "text", "source").withColumn("source", plain_source(F.col("source"))), model)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

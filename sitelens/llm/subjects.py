@@ -23,10 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.llm.reading import language
+from sitelens.tables import latest
 
 #: Most labelled documents and most unlabelled documents that are fitted on, chosen by a hash of their id.
 TRAIN_LABELLED = 6000
 TRAIN_OTHERS = 3000
+#: Longer texts are classified like all others, but not trained on: it bounds what the driver receives.
+TRAIN_CHARS = 20_000
 BUCKETS = 1 << 16
 BEAM = 6
 MOST = 2
@@ -230,11 +233,16 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("subjects", pa.list_(pa.string())), (
 
 
 def fit(docs: DataFrame, doc_labels: DataFrame, subjects: DataFrame, labelled: int = TRAIN_LABELLED, others: int = TRAIN_OTHERS) -> SubjectModel:
-    """A model from at most ``labelled`` labelled documents and ``others`` more; labels of unknown subjects are ignored."""
+    """A model from at most ``labelled`` labelled documents and ``others`` more; labels of unknown subjects are ignored.
+
+    ``docs`` may hold rows delivered again: the labelled ones are told apart
+    after the join with the chosen labels, so that only they are shuffled.
+    """
     names = sorted(r.subject for r in subjects.select("subject").where("subject is not null").distinct().collect())
-    marked = doc_labels.where(F.col("subject").isin(names)).groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("marked"))
-    rows = docs.join(marked, "doc_id").where("length(text) > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).select("text", "source", "marked").collect()
-    more = docs.where("length(text) > 0").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(others).select("text").collect()
+    marked = doc_labels.where(F.col("subject").isin(names) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("marked"))
+    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    rows = latest(docs.join(F.broadcast(chosen), "doc_id"), "doc_id").where(f"length(text) between 1 and {TRAIN_CHARS}").orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "source", "marked").collect()
+    more = docs.where(f"length(text) between 1 and {TRAIN_CHARS}").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", F.xxhash64("text")).limit(others).select("text").collect()
     y = np.array([[float(n in r.marked) for n in names] for r in rows]).reshape(len(rows), len(names))
     return SubjectModel(names, [r.text for r in rows], [r.source for r in rows], y, [r.text for r in more])
 
