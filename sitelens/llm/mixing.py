@@ -18,18 +18,17 @@ from collections.abc import Iterable, Iterator
 from math import floor
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.session import cut
-
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that cuts text into pieces for this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 2048
 #: Slots are ranked in chunks of this many.
 CHUNK = 1 << 16
-GOLDEN = 0.6180339887498949
+#: Fixed value: the golden ratio's fraction of 2**31, made odd; points are whole multiples of 2**-31, exact for any slot.
+PERIOD, GOLDEN = 1 << 31, 1327217885
 #: A token bucket of a source holds about this many tokens.
 BUCKET_TOKENS = 4_000_000
 
@@ -66,7 +65,7 @@ def slots_that_fit(available: dict[str, int], shares: dict[str, float], repeats:
 def schedule(spark, n: int, shares: dict[str, float]) -> DataFrame:
     """Rows (slot, source, rank): each slot's source and its rank among the source's slots."""
     total = sum(shares.values())
-    point = F.pmod(F.col("slot") * F.lit(GOLDEN), F.lit(1.0))
+    point = F.pmod(F.pmod("slot", F.lit(PERIOD)) * F.lit(GOLDEN), F.lit(PERIOD)) / F.lit(float(PERIOD))
     source, upto = F.lit(None).cast("string"), 0.0
     for name, share in shares.items():
         upto += share / total
