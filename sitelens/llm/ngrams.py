@@ -40,12 +40,11 @@ class CharModel:
     def __init__(self, texts: Iterable[str], order: int = ORDER):
         self.order = order
         self.counts = np.zeros((order, 1 << BITS), np.float32)
-        self.total = 0
-        for text in texts:
-            slots = grams(codes(text), order)
-            self.total += slots.shape[1]
-            for k in range(order):
-                np.add.at(self.counts[k], slots[k], 1)
+        each = [grams(codes(text), order) for text in texts]
+        slots = np.concatenate(each, axis=1) if each else np.empty((order, 0), np.int64)
+        self.total = slots.shape[1]
+        for k in range(order):
+            self.counts[k] = np.bincount(slots[k], minlength=1 << BITS)
 
     def log_probabilities(self, slots: np.ndarray) -> np.ndarray:
         """Natural logarithm of each character's probability."""
