@@ -106,12 +106,14 @@ class TermWeights:
         self.w[np.abs(self.w) < 0.9] = 0
         return self
 
-    def given(self, parts: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Each sentence's best subject (-1 for none) and its lead."""
+    def given(self, parts: Sequence[np.ndarray], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Each sentence's best subject (-1 for none), of those marked in ``among`` if given, and its lead."""
         if not parts:
             return np.zeros(0, np.int64), np.zeros(0)
         starts = np.concatenate([[0], np.cumsum([len(p) for p in parts[:-1]])]).astype(np.int64)
         score = np.add.reduceat(self.w[:, np.concatenate(parts)], starts, axis=1)
+        if among is not None:
+            score = np.where(among[:, None] > 0, score, -np.inf)
         best = score.argmax(axis=0)
         lead = score.max(axis=0)
         return np.where(lead >= LEAD, best, -1), lead
@@ -124,7 +126,7 @@ class TermWeights:
 
 
 def fit_terms(docs: Sequence[Sequence[np.ndarray]], langs: Sequence[int], labels: np.ndarray, others: Sequence[Sequence[np.ndarray]], other_langs: Sequence[int], rounds: int = 4) -> TermWeights:
-    """First by the documents' labels, then by the sentences given, of these documents and of the others."""
+    """First by the documents' labels, then by the sentences given: of these documents to one of their labels, of the others to any subject."""
     k = labels.shape[1]
     shape = (len(LANGUAGES), k, BUCKETS)
     counts, overall, mass, total = np.zeros(shape, np.float32), np.zeros((len(LANGUAGES), BUCKETS)), np.zeros(shape[:2]), np.zeros(len(LANGUAGES))
@@ -139,8 +141,8 @@ def fit_terms(docs: Sequence[Sequence[np.ndarray]], langs: Sequence[int], labels
     weights = TermWeights(k).set(counts, mass, overall, total)
     for _ in range(rounds):
         counts, overall, mass, total = np.zeros(shape, np.float32), np.zeros((len(LANGUAGES), BUCKETS)), np.zeros(shape[:2]), np.zeros(len(LANGUAGES))
-        for parts, lang in [*zip(docs, langs), *zip(others, other_langs)]:
-            best, _ = weights.given(parts)
+        for parts, lang, y in [*zip(docs, langs, labels), *((p, n, None) for p, n in zip(others, other_langs))]:
+            best, _ = weights.given(parts, y)
             total[lang] += len(parts)
             for p, s in zip(parts, best):
                 overall[lang, p] += 1
@@ -151,23 +153,28 @@ def fit_terms(docs: Sequence[Sequence[np.ndarray]], langs: Sequence[int], labels
     return weights
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 25) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the constant."""
+def _logistic(x: np.ndarray, y: np.ndarray, center: np.ndarray, ridge: float = 0.3, steps: int = 40) -> np.ndarray:
+    """Logistic regression by damped Newton steps, held near ``center`` where labels are few; the last weight is the constant."""
     z = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
-    penalty = np.full(z.shape[1], ridge)
-    penalty[-1] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + penalty * w
-        hess = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty)
+        grad = z.T @ (p - y) + ridge * (w - center)
+        hess = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + ridge * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
-        w -= step
+        w -= step / max(1.0, np.abs(step).max() / 2)
         if np.abs(step).max() < 1e-5:
             break
     return w
 
 
+def _expected(n: int) -> np.ndarray:
+    """The chain's weights before any label is seen: a subject counts from ``LEAST_SHARE`` of the sentences, whatever else holds."""
+    center = np.zeros(n + 1)
+    center[0], center[-1] = 2.0, -5.0
+    return center
+
+
 class SubjectModel:
     """Term weights, the chain, and a calibration for each of its links."""
 
@@ -192,10 +199,10 @@ class SubjectModel:
                 continue
             score = np.zeros(len(x))
             for f in (0, 1):
-                w = _logistic(x[fold != f], labels[fold != f, s])
+                w = _logistic(x[fold != f], labels[fold != f, s], _expected(x.shape[1]))
                 score[fold == f] = np.hstack([x[fold == f], np.ones(((fold == f).sum(), 1))]) @ w
-            self.chain.append(_logistic(x, labels[:, s]))
-            slope, shift = _logistic(score[:, None], labels[:, s], ridge=1e-3)
+            self.chain.append(_logistic(x, labels[:, s], _expected(x.shape[1])))
+            slope, shift = _logistic(score[:, None], labels[:, s], np.array([1.0, 0.0]), ridge=3.0)
             self.calibration.append((max(0.2, slope), shift))
 
     @staticmethod
