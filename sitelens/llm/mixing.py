@@ -5,8 +5,9 @@ into whose share of [0, 1) the point frac(k * golden ratio) falls, so in every
 stretch of the schedule each source has its share of slots to within a few
 slots. A source's documents are shuffled anew for every repeat and laid
 end to end; its r-th slot takes the documents that begin in the r-th block of
-tokens. The number of slots is the largest at which no source is used more
-than its ``max_repeats`` times.
+tokens. The mixture holds the most tokens at which no source is used more
+than its ``max_repeats`` times; blocks shrink with it, so that a small mixture
+has as many slots. A slot past a source's last repeat stays empty.
 
 Running sums are taken in two steps (within salted buckets, then over the few
 bucket sums), so neither a hot source nor the schedule goes through one task.
@@ -15,8 +16,6 @@ bucket sums), so neither a hot source nor the schedule goes through one task.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from math import floor
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +24,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that cuts text into pieces for this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 2048
+#: Blocks shrink so far that a mixture has at least this many slots.
+LEAST_SLOTS = 1 << 16
+#: A source that would hold the mixture below this part of what the others allow is too small for its share.
+SHORT = 0.1
 #: Slots are ranked in chunks of this many.
 CHUNK = 1 << 16
 #: Fixed value: the golden ratio's fraction of 2**31, made odd; points are whole multiples of 2**-31, exact for any slot.
@@ -52,14 +55,24 @@ def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER,
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, tokens bigint")
 
 
-def slots_that_fit(available: dict[str, int], shares: dict[str, float], repeats: dict[str, int], block: int = BLOCK) -> int:
-    """The most slots at which each source's slots fit its tokens times its repeats.
+def parts_that_fit(available: dict[str, int], shares: dict[str, float], repeats: dict[str, int], spare: bool = False) -> dict[str, float]:
+    """Tokens of each source in the largest mixture at exact shares in which no source is used more than its repeats.
 
-    Two slots are kept back for each source, more than the schedule strays from its share there.
-    A source with a positive share but no tokens allows no slot.
+    A source without tokens allows no mixture. With ``spare`` sources that have no tokens, or so few
+    that they allow less than ``SHORT`` of what the next source allows, do not bound the others: they give
+    all their tokens times their repeats. Those with tokens may hold less than half of the shares together.
     """
-    limits = [max(0, available.get(s, 0) * repeats[s] // block - 2) / share for s, share in shares.items() if share > 0]
-    return floor(min(limits)) if limits else 0
+    limits = {s: available.get(s, 0) * repeats[s] / share for s, share in shares.items() if share > 0}
+    order = sorted(limits, key=lambda s: (limits[s], s))
+    short = 0
+    if spare:
+        missing = sum(not limits[s] for s in order)
+        for k in range(missing, len(order)):
+            if k == missing or limits[order[k - 1]] < SHORT * limits[order[k]] and 2 * sum(shares[s] for s in order[missing:k]) < sum(shares[s] for s in order[missing:]):
+                short = k
+    size = limits[order[short]] if order else 0.0
+    parts = {s: min(size, limits[s]) * shares[s] for s in sorted(limits)}
+    return {s: n for s, n in parts.items() if n > 0}
 
 
 def schedule(spark, n: int, shares: dict[str, float]) -> DataFrame:
@@ -91,13 +104,16 @@ def laid_out(docs: DataFrame, key: str, needs: DataFrame, seed: int = 1) -> Data
     return used.withColumn("inside", inside).join(before, by).select("source", "repeat", key, "tokens", (F.col("repeat") * F.col("tokens_in") + F.col("before") + F.col("inside")).alias("start"))
 
 
-def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", block: int = BLOCK, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", block: int = BLOCK, seed: int = 1, spare: bool = False) -> DataFrame:
     """The mixture as rows (slot, source, key, repeat, tokens).
 
     ``docs`` has columns source, key and tokens; ``targets`` source,
     target_share and max_repeats (a row for each source, a small table).
     Documents of no listed source, of null source and of no tokens are left
-    out. A source with a share but without tokens makes the mixture empty.
+    out. A source with a share but without tokens makes the mixture empty;
+    with ``spare`` such a source, or one too small for its share, is used up
+    and the others keep their shares among themselves. ``block`` is the
+    longest block.
     """
     spark = docs.sparkSession
     rows = {r.source: r for r in targets.select("source", "target_share", "max_repeats").where("target_share > 0 and max_repeats > 0").collect()}
@@ -105,13 +121,16 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", block: int = B
     repeats = {s: int(rows[s].max_repeats) for s in rows}
     docs = docs.where("tokens > 0").where(F.col("source").isin(list(rows)))
     available = {r.source: int(r.n) for r in docs.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    n = slots_that_fit(available, shares, repeats, block)
-    slots = schedule(spark, n, shares)
+    parts = parts_that_fit(available, shares, repeats, spare)
+    total = sum(parts.values())
+    block = int(min(block, max(1, total // LEAST_SLOTS)))
+    n = round(total / block)
+    slots = schedule(spark, n, parts or shares)
     if not n:
         needs_rows = [(s, 1, 1, 1) for s in shares] or [("", 1, 1, 1)]
     else:
-        total = sum(shares.values())
-        needs_rows = [(s, available[s], min(repeats[s], -(-int(n * shares[s] / total + 2) * block // available[s])), max(1, available[s] // BUCKET_TOKENS)) for s in shares]
+        # the schedule strays from a source's part by less than six slots
+        needs_rows = [(s, available[s], min(repeats[s], -(-int(part + 6 * block) // available[s])), max(1, available[s] // BUCKET_TOKENS)) for s, part in parts.items()]
     needs = spark.createDataFrame(needs_rows, "source string, tokens_in bigint, uses int, buckets bigint")
     placed = laid_out(docs.select("source", key, "tokens"), key, needs, seed).withColumn("rank", F.floor(F.col("start") / block))
     return placed.join(slots, ["source", "rank"]).select("slot", "source", key, "repeat", "tokens")

@@ -22,14 +22,14 @@ def _targets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    """Every use of a document, with its slot in the mixture."""
-    return mix(_counted(spark, folder), _targets(spark, folder))
+    """Every use of a document, with its slot in the mixture; sources that are missing or too small for their share do not bound it."""
+    return mix(_counted(spark, folder), _targets(spark, folder), spare=True)
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual share of each source in tokens."""
     docs, targets = _counted(spark, folder), _targets(spark, folder)
-    return shares_of(cut(mix(docs, targets)), targets, docs)
+    return shares_of(cut(mix(docs, targets, spare=True)), targets, docs)
 
 
 QUERIES = {"p8_mixture": p8_mixture, "p8_shares": p8_shares}

@@ -65,3 +65,27 @@ def test_token_counts(spark):
 def test_plain_source(spark):
     df = spark.createDataFrame([(s,) for s in (" Product-Page", "PRODUCT page", "product_page", " ", None)], "s string")
     assert [r[0] for r in df.select(plain_source(F.col("s"))).collect()] == ["product_page"] * 3 + [None] * 2
+
+
+def test_small_and_missing_sources_do_not_empty_the_mixture(spark):
+    rows = [("big", i, 250) for i in range(300)] + [("mid", 1000 + i, 250) for i in range(100)] + [("small", 2000 + i, 160) for i in range(7)]
+    aims = targets(spark, [("big", 0.6, 1), ("mid", 0.34, 2), ("small", 0.06, 4)])
+    got = {r.source: r for r in M.shares_of(M.mix(docs(spark, rows), aims), aims, docs(spark, rows)).collect()}
+    assert all(abs(got[s].actual_share - share) < 0.01 for s, share in (("big", 0.6), ("mid", 0.34), ("small", 0.06)))
+    assert 70_000 < sum(r.tokens for r in got.values()) < 80_000 and 3.9 < got["small"].times_used <= 4
+
+    for few, used in (([], 0), ([("small", 2000, 10)], 4)):
+        table = docs(spark, rows[:400] + few)
+        got = {r.source: r for r in M.shares_of(M.mix(table, aims, spare=True), aims, table).collect()}
+        assert got["small"].times_used == used and abs(got["big"].actual_share / got["mid"].actual_share - 0.6 / 0.34) < 0.03
+        assert got["big"].times_used > 0.99 and got["big"].times_used <= 1 and got["mid"].times_used <= 2
+        assert M.mix(table, aims).where("source = 'big'").count() == 0 if not few else True
+
+
+def test_parts_that_fit():
+    shares, repeats = {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1, "b": 2, "c": 4}
+    assert M.parts_that_fit({"a": 5000, "b": 5000, "c": 5000}, shares, repeats) == {"a": 5000, "b": 3000, "c": 2000}
+    assert M.parts_that_fit({"a": 5000, "b": 5000}, shares, repeats) == {} and M.parts_that_fit({"a": 5000, "b": 5000}, shares, repeats, True) == {"a": 5000, "b": 3000}
+    assert M.parts_that_fit({}, shares, repeats, True) == {} == M.parts_that_fit({}, {}, {}, True)
+    assert M.parts_that_fit({"a": 5000, "b": 5000, "c": 1}, shares, repeats, True) == {"a": 5000, "b": 3000, "c": 4}
+    assert M.parts_that_fit({"a": 1, "b": 5000, "c": 5000}, shares, repeats, True)["b"] < 1  # half of the shares is no small rest
