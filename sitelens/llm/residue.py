@@ -25,7 +25,7 @@ FEW_WORDS = 40
 #: Least gain in nats of the mark model over prose and furniture at a mark.
 LEAST_GAIN = 1.0
 
-#: The forms of template marks (o and f stand for two parts of a name) and values of unset variables.
+#: The forms of template marks the mark model is fitted on (o and f stand for two parts of a name) and values of unset variables.
 MARKS = ["{{o_f}}", "{{ o.f }}", "{{oF}}", "<%= o.f %>", "<% o_f %>", "${o.f}", "#{o_f}", "@@o-f@@", "[[o_f]]", "[your o.f here]", "[INSERT o-f]", "{$o_f}", "{o-f}", "%oF%", "%o_f%", "{%o%}", "TODO write this part"]
 VALUES = ["[object Object]", "undefined", "NaN", "Invalid Date", "null"]
 MARK = re.compile(
@@ -33,6 +33,13 @@ MARK = re.compile(
     r"|\[object Object\]|(?-i:\bundefined\b|\bNaN\b|\bInvalid Date\b|(?<![\w'])null(?![\w']))",
     re.IGNORECASE,
 )
+#: The wider form every mark has: a name between two or more signs on either side, after an opening that was never closed or before a closing that was never opened, or a compound name in brackets.
+FORM = re.compile(
+    MARK.pattern + r"|<\?.*?\?>|\*\|.*?\|\*|[\[<](?-i:[A-Za-z][A-Za-z0-9]*(?:[_.][A-Za-z0-9]+)+|[A-Z][A-Z0-9]*(?:[_\- ][A-Z0-9]+)+)[\]>]"
+    r"|(?=[!-/:-@\[-^`{-~]*[{\[<|%$#@])[!-/:-@\[-^`{-~]{2,6} ?[$\w][\w.\-]{0,60} ?(?=[!-/:-@\[-^`{-~]*[}\]>|%$#@])[!-/:-@\[-^`{-~]{2,6}"
+    r"|(?:\{\{|\{%|<%|<\?|\$\{|#\{|\*\||@@|\[\[)[ =]{0,2}[A-Za-z_$][\w.\-]*|[A-Za-z_$][\w.\-]* ?(?:\}\}|%\}|%>|\?>|\|\*|\]\])",
+    re.IGNORECASE,
+)
 _VALUE = re.compile(r"\[object object\]|undefined|nan|invalid date|null", re.IGNORECASE)
 
 _OBJECTS = ["user", "order", "page", "item", "cart", "shop", "post", "product", "meta", "author"]
@@ -53,6 +60,14 @@ def lorem_texts(n: int, rng: np.random.Generator) -> list[str]:
     return ["Lorem ipsum dolor sit amet, consectetur adipiscing elit.", *(" ".join(rng.choice(LOREM, rng.integers(5, 14))).capitalize() + "." for _ in range(n))]
 
 
+def places(text: str, n: int) -> np.ndarray:
+    """Where in the text each of the ``n`` characters of its codes stands; a space stands after its word."""
+    spans = np.array([m.span() for m in re.finditer(r"\S+", text)], np.int64).reshape(-1, 2)
+    size = spans[:, 1] - spans[:, 0] + 1
+    out = (np.arange(size.sum()) + np.repeat(spans[:, 0] - np.cumsum(size) + size, size))[:-1]
+    return out if len(out) == n else np.repeat(out, [len(c.lower()) for c in " ".join(text.split())])
+
+
 class ResidueModel:
     """The fitted models. ``natural`` and ``furniture`` are blocks of the corpus, any number of them."""
 
@@ -86,26 +101,36 @@ class ResidueModel:
         residue, natural = by[2] + by[3], by[0]
         return (residue / (residue + natural) if residue else 0.0), ("filler" if by[2] > by[3] else "notice")
 
+    def candidates(self, text: str) -> np.ndarray:
+        """The places in the text at which a window ends in which the mark model beats prose and furniture by ``LEAST_GAIN``.
+
+        All windows are looked at, of any place and length: the best that ends at a character
+        gains the sum up to it less the least sum before.
+        """
+        slots = grams(codes(text))
+        if not slots.shape[1]:
+            return np.zeros(0, np.int64)
+        as_mark, natural, furniture = (self.models[k].log_probabilities(slots) for k in (4, 0, 1))
+        gain = np.cumsum(as_mark - np.maximum(natural, furniture), dtype=np.float64)
+        over = np.flatnonzero(gain - np.minimum.accumulate(np.concatenate([[0], gain[:-1]])) >= LEAST_GAIN)
+        return places(text, slots.shape[1])[over] if len(over) else over
+
     def marks(self, text: str) -> bool:
         """Whether the text holds a template mark or an unset value in use.
 
-        Windows in which the mark model beats prose and furniture localise candidates; the
-        form of each is checked exactly, and what stands around it decides.
+        Windows in which the mark model beats prose and furniture give the candidates; then the
+        form of each is checked, and what stands around it decides.
         """
-        found = list(MARK.finditer(text))
-        if not found:
+        hits = self.candidates(text)
+        if not len(hits):
             return False
-        for match in found:
-            near = text[max(0, match.start() - 8) : match.end() + 8]
-            slots = grams(codes(near))
-            as_mark = self.models[4].log_probabilities(slots)
-            as_text = np.maximum(self.models[0].log_probabilities(slots), self.models[1].log_probabilities(slots))
-            gain = np.cumsum(as_mark - as_text)
-            if (gain - np.minimum.accumulate(np.concatenate([[0], gain[:-1]]))).max() < LEAST_GAIN:
+        for match in FORM.finditer(text):
+            k = np.searchsorted(hits, match.start() - 8)
+            if k == len(hits) or hits[k] >= match.end() + 8:
                 continue
             before = re.split(r"[.!?\n]\s", text[max(0, match.start() - 60) : match.start()])[-1]
             after = re.split(r"(?<=[.!?])\s|\n", text[match.end() : match.end() + 60])[0]
-            around = MARK.sub("◊", before) + "◊" + MARK.sub("◊", after)
+            around = FORM.sub("◊", before) + "◊" + FORM.sub("◊", after)
             used, spoken, plain = (float(m.log_probabilities(grams(codes(around))).sum()) for m in (self.in_use, self.spoken_of, self.models[0]))
             if spoken > used and len(around.split()) > 4:
                 continue
