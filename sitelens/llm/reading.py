@@ -2,10 +2,10 @@
 
 An interpolated n-gram model is trained on easy prose: fixed sentences and the
 plainest quarter of a bounded sample of the corpus. Every English text is
-scored to its end; the distribution of its sentences' surprisal in bits a
-word is what speaks for its difficulty, since it does not change when
-sentences are joined or cut. Isotonic regression, fitted on the sample,
-maps the text's surprisal monotonically to a school grade.
+scored to its end; the whole distribution of its sentences' surprisal in bits a
+word is what speaks for its difficulty: its mean, median and upper quantile,
+all weighted by words, in one score. Isotonic regression, fitted on the sample,
+maps the text's score monotonically to a school grade.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ FUNCTION_WORDS = {
     "es": "el los las que y por se en es un una para con del al como más pero su sus no hay muchos sobre la lo desde sin".split(),
     "fr": "le les des et dans un une du sur pour est que qui au aux avec ce cette sont plus pas peu ne se la on il par depuis sans".split(),
 }
+#: What the mean, the median and the 90th percentile of a text's surprisal count in its score.
+WEIGHTS = (0.5, 0.25, 0.25)
 #: Words a sentence, in the grade of the sample.
 USUAL_LENGTH = 15.6
 _WORD = re.compile(r"[^\W\d_]+")
@@ -96,16 +98,12 @@ class ReadingModel:
         easy = sorted(range(len(texts)), key=grades.__getitem__)[: max(1, len(texts) // 4)] if texts else []
         self.model = CharModel([*EASY * 3, *(_NAME.sub("Tom", texts[k]) for k in easy)])
         held = [k for k in range(len(texts)) if k not in set(easy[::2])]
-        x = [self.surprisal(texts[k])[0] for k in held] + [self.surprisal(" ".join(EASY))[0]]
+        x = [self.score(texts[k]) for k in held] + [self.score(" ".join(EASY))]
         y = [grades[k] for k in held] + [1.0]
         self.x, self.y = isotonic(x, y)
 
     def surprisal(self, text: str) -> tuple[float, float, float]:
-        """The mean over the middle half of the text's sentences, the median and the 90th percentile of their bits a word.
-
-        Sentences count by their words. The middle half leaves out what the text says
-        in passing in a much plainer or harder way.
-        """
+        """The mean, the median and the 90th percentile of the bits a word of all of the text's sentences, which count by their words."""
         parts = [s for s in _SENTENCE.split(_NAME.sub("Tom", text)) if _WORD.search(s)]
         if not parts:
             return 0.0, 0.0, 0.0
@@ -115,13 +113,17 @@ class ReadingModel:
         bits = -np.add.reduceat(log, np.concatenate([[0], ends[:-1]])) / np.log(2)
         words = np.array([len(_WORD.findall(s)) for s in parts], float)
         each = bits / words
-        order = np.argsort(each)
-        upto = np.cumsum(words[order]) / words.sum()
-        inside = np.clip(np.minimum(upto, 0.75) - np.maximum(np.concatenate([[0], upto[:-1]]), 0.25), 0, None)
-        return float((each[order] * inside).sum() / inside.sum()), float(np.median(each)), float(np.percentile(each, 90))
+        order = np.argsort(each, kind="stable")
+        middle = (np.cumsum(words[order]) - words[order] / 2) / words.sum()
+        median, upper = np.interp([0.5, 0.9], middle, each[order])
+        return float((each * words).sum() / words.sum()), float(median), float(upper)
+
+    def score(self, text: str) -> float:
+        """One number for the whole distribution; it rises with the surprisal of every sentence."""
+        return sum(w * x for w, x in zip(WEIGHTS, self.surprisal(text)))
 
     def grade(self, text: str) -> float:
-        return float(np.interp(self.surprisal(text)[0], self.x, self.y))
+        return float(np.interp(self.score(text), self.x, self.y))
 
 
 def band(grade: float) -> str:
