@@ -48,15 +48,37 @@ def scans(spark: S, folder: str, *columns: str) -> D:
     return _read(spark, folder, "scans", "scan_id", ("root_url", *columns))
 
 
-def found_issues(spark: S, folder: str) -> D:
-    """Every issue the page rules, the cross-page rules and the vitals rules find in crawled pages; issue_ord keeps the order of evaluation."""
-    p = pages(spark, folder, *RULE_COLUMNS, "final_url", "external_links")
+def _numbered(each: D, others: list[D], first: int) -> D:
+    for n, df in enumerate(others):
+        each = each.unionByName(df.withColumn("issue_ord", F.lit(first + n)))
+    return each
+
+
+def page_and_link_issues(p: D) -> D:
+    """The issues of the page rules, of titles and descriptions used more than once, and of links; issue_ord keeps the order of evaluation."""
     each = page_issues(p).drop("page_ord")
-    site = [site_rules.duplicate_titles(p), site_rules.duplicate_descriptions(p), site_rules.broken_internal_links(p), site_rules.redirect_chains(p), site_rules.broken_external_links(p)]
-    out = each
-    for n, df in enumerate(site):
-        out = out.unionByName(df.withColumn("issue_ord", F.lit(1000 + n)))
-    return out
+    return _numbered(each, [site_rules.duplicate_titles(p), site_rules.duplicate_descriptions(p), site_rules.broken_internal_links(p), site_rules.redirect_chains(p), site_rules.broken_external_links(p)], 1000)
+
+
+def every_issue(p: D, roots: D, measured: D) -> D:
+    """Every issue of crawled pages: those of ``page_and_link_issues``, of equal and similar texts, orphans, platforms and vitals.
+
+    ``roots`` has (scan_id, root_url), ``measured`` the vitals with scan_id, page_id and url. Crawled pages
+    are taken as their scan's sitemap; near duplicates and orphans are sampled as their rules say.
+    """
+    listed = p.select("scan_id", "url", "page_id", F.col("page_ord").alias("ord"))
+    others = [
+        site_rules.duplicate_content(p), site_rules.near_duplicate_content(p), site_rules.orphan_issues(site_rules.orphans(listed, p, roots, normal_url)),
+        site_rules.platform_issues(p, site_rules.platforms(p)), site_rules.vitals_issues(measured, "scan_id", "page_id", "url"),
+    ]
+    return _numbered(page_and_link_issues(p), others, 2000)
+
+
+def found_issues(spark: S, folder: str) -> D:
+    """Every issue the page rules, the rules over several pages, the platform rules and the vitals rules find."""
+    p = pages(spark, folder, *RULE_COLUMNS, "final_url", "external_links", "body_text", "headers", "structured_data_types")
+    m = load(spark, folder, "page_metrics").dropDuplicates(["metric_id"]).select("page_id", "lcp", "cls", "tbt")
+    return every_issue(p, scans(spark, folder), m.join(stored(spark, folder), "page_id", "left"))
 
 
 def page_issue_rows(spark: S, folder: str) -> D:
@@ -70,6 +92,13 @@ def heading_jumps(spark: S, folder: str) -> D:
 
 
 def issue_code_counts(spark: S, folder: str) -> D:
+    """Counts of the issues of the page rules, of shared titles and descriptions, and of links only; ``found_issue_counts`` has all."""
+    p = pages(spark, folder, *RULE_COLUMNS, "final_url", "external_links")
+    return page_and_link_issues(p).groupBy("code", "severity").agg(F.count("*").alias("n"))
+
+
+def found_issue_counts(spark: S, folder: str) -> D:
+    """Counts of every issue found, those of texts, orphans, platforms and vitals included."""
     return found_issues(spark, folder).groupBy("code", "severity").agg(F.count("*").alias("n"))
 
 
@@ -282,7 +311,7 @@ def crawl_levels(spark: S, folder: str) -> D:
 
 
 QUERIES = {f.__name__: f for f in (
-    page_issue_rows, heading_jumps, issue_code_counts, duplicate_titles, duplicate_descriptions, links_exploded, link_counts, broken_links, external_broken, redirected, orphan_pages, platforms, platform_rules, exact_duplicates, duplicate_content, simhashes,
+    page_issue_rows, heading_jumps, issue_code_counts, found_issue_counts, duplicate_titles, duplicate_descriptions, links_exploded, link_counts, broken_links, external_broken, redirected, orphan_pages, platforms, platform_rules, exact_duplicates, duplicate_content, simhashes,
     near_hash_pairs, near_duplicate_pages, shingle_counts, readability, url_quality, normal_urls, vitals, vitals_issues, metric_defaults, opportunities, severity_pivot, scan_scores, top_deductions, issue_groups, first_issues, issues_with_pages,
     issue_filter, page_search, page_list, recent_scans, scan_summary, export_issues, root_pages, nested_scans, pages_with_metrics, recommendations, action_plan, weighted_mean, crawl_levels,
 )}

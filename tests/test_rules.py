@@ -153,3 +153,17 @@ def test_grades_and_deductions(spark):
     found = scores.deductions(issues(spark, ("technical", "B", "low"), ("technical", "A", "low"), ("technical", "C", "high"), ("technical", "B", "medium"))).orderBy("rank").collect()
     assert [(r.code, r.deduction, r.title) for r in found] == [("C", 8, "t2"), ("B", 5, "t0"), ("A", 1, "t1")]
     assert scores.severity_counts(issues(spark, ("x", "y", "low"), ("x", "y", None))).first()[1:] == (2, 0, 0, 0, 1)
+
+
+def test_every_issue_has_those_of_texts_orphans_platforms_and_vitals(spark, make_pages):
+    from collections import Counter
+
+    from sitelens.plans.audit_queries import every_issue, page_and_link_issues
+
+    text = "The same long text stands on two pages of this shop, cdn.shopify.com serves its pictures to all of them."
+    u = "https://example.com"
+    p = make_pages(*({"url": u + path, "final_url": u + path, "title": f"A title of a fitting length, number {k}", "body_text": text, "structured_data_types": None} for k, path in enumerate(["/", "/products/a?variant=1"])))
+    roots = spark.createDataFrame([("s", u + "/")], "scan_id string, root_url string")
+    vitals = spark.createDataFrame([("s", 1, u + "/", 5.0, 0.3, 700), ("s", 2, u + "/products/a", 3.0, 0.0, 0)], "scan_id string, page_id bigint, url string, lcp double, cls double, tbt int")
+    got, narrow = Counter(r.code for r in every_issue(p, roots, vitals).collect()), Counter(r.code for r in page_and_link_issues(p).collect())
+    assert got - narrow == {"EXACT_DUPLICATE_CONTENT": 2, "ORPHAN_PAGE": 1, "SHOPIFY_VARIANT_PARAM_BLOAT": 1, "MISSING_PRODUCT_SCHEMA": 1, "POOR_LCP": 1, "NEEDS_WORK_LCP": 1, "POOR_CLS": 1, "POOR_TBT": 1}
