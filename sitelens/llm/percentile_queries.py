@@ -32,11 +32,16 @@ def p6_site_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_day_histograms(spark: SparkSession, folder: str) -> DataFrame:
-    """The first digit's histogram of each site and day: what separate days hand over."""
+    """The first digit's histogram of each site and day, good to 1/16 of a value: for a look at it; ``p6_day_states`` is what days hand over."""
     return first_histogram(state(spark, folder), ["site", "day"])
 
 
-QUERIES = {"p6_site_percentiles": p6_site_percentiles, "p6_day_histograms": p6_day_histograms}
+def p6_day_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts (site, day, metric, key, n): what separate days hand over; percentiles of their union are those of all days."""
+    return state(spark, folder)
+
+
+QUERIES = {"p6_site_percentiles": p6_site_percentiles, "p6_day_histograms": p6_day_histograms, "p6_day_states": p6_day_states}
 
 SQL = {
     "p6_site_percentiles": """

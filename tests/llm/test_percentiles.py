@@ -58,3 +58,18 @@ def test_empty_null_and_nan(spark):
     assert select_ranks(counted(df, ["g"], [], ["v"]), ["g"], [0.5]).count() == 0
     with pytest.raises(ValueError):
         select_ranks(counted(df, ["g"], [], ["v"]), ["g"], [0.5], (40, 40))
+
+
+def test_day_states_merge_to_the_percentiles_of_all_days(spark, tmp_path):
+    from sitelens.llm import percentile_queries as Q
+    from sitelens.llm import queries
+    from sitelens.llm.percentiles import select_ranks
+
+    pages = [(i, f"s{i % 2}", 100 + 37 * i % 1013, 500 + i % 91, f"2024-01-0{1 + i % 3} 10:00:00") for i in range(300)]
+    spark.createDataFrame(pages, "page_id bigint, scan_id string, response_time_ms int, word_count int, at string").selectExpr("*", "cast(at as timestamp) as fetched_at", "cast(at as timestamp) as ingested_at").write.parquet(f"{tmp_path}/site_pages.parquet")
+    spark.createDataFrame([("s0", "https://A.example/"), ("s1", "a.example")], "scan_id string, root_url string").selectExpr("*", "current_timestamp() as ingested_at").write.parquet(f"{tmp_path}/scans.parquet")
+    days = queries.queries()["p6_day_states"](spark, str(tmp_path)).cache()
+    parts = [days.where(f"day = '2024-01-0{d}'").drop("day") for d in (1, 2, 3)]
+    merged = select_ranks(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["site"], Q.PROBABILITIES)
+    whole = Q.p6_site_percentiles(spark, str(tmp_path))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, whole.collect())) and merged.count() == 8
