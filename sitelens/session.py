@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,19 +29,57 @@ def local_session(cores: int | str = "*", app: str = "sitelens", partitions: int
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only where none is set (tests)."""
+    """The shared checkpoint folder the cluster names.
+
+    Only a session that runs in one process (tests, benchmarks) may go without;
+    it gets a temporary folder. A session with executors elsewhere that
+    names none is an error, as no folder of one machine would outlive them.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sitelens-checkpoint-"))
+        if named is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise RuntimeError("name a shared folder in spark.checkpoint.dir")
+            named = tempfile.mkdtemp(prefix="sitelens-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files.
+    """Write ``df`` as a table in the shared checkpoint folder and go on from its files.
 
-    Unlike a local checkpoint the files outlive any executor, so a lost
-    executor costs a re-read and not the job.
+    The files outlive any executor, so a lost executor costs a re-read and not
+    the job; and the planner knows their size, so it does not take what has
+    grown for a side to broadcast. The tables of a session are removed when its
+    driver ends.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    _TABLES.append((spark, folder))
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def drop_cuts(spark: SparkSession, keep: int = 0) -> None:
+    """Remove the tables that :func:`cut` has written in this session, but for the first ``keep``; frames that read them are then void."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for at in range(len(_TABLES) - 1, -1, -1):
+        owner, folder = _TABLES[at]
+        if owner is spark and at >= keep:
+            place = path(folder)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            del _TABLES[at]
+
+
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _drop_all() -> None:
+    for spark in {id(s): s for s, _ in _TABLES}.values():
+        try:
+            drop_cuts(spark)
+        except Exception:  # the session has ended: the cluster clears its folder
+            pass
