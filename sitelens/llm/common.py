@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.session import cut
 from sitelens.tables import latest, load
 
 #: Words are runs of letters and digits in lower case.
@@ -44,16 +45,37 @@ def plain_source(source: Column) -> Column:
 HOT_ROWS, SPREAD, HOT_KEYS = 100_000, 64, 1_000_000
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, by: str, rows: int = HOT_ROWS) -> DataFrame:
-    """``left`` joined with ``right`` (one row a key, ``n`` rows of ``left`` each) with hot keys spread over tasks.
+def hot_keys(counts: DataFrame, key: str, n: str, rows: int = HOT_ROWS) -> tuple[DataFrame, int]:
+    """The keys of ``counts`` (one row a key) with more than ``rows`` rows ``n``, as a written table of at most ``HOT_KEYS`` rows, and their number.
+
+    There are at most count / rows of them; where that is still too many the bar is raised, so the table can always be broadcast.
+    """
+    hot = cut(counts.where(F.col(n) > rows).select(F.col(key), F.col(n).alias("__n")))
+    while (size := hot.count()) > HOT_KEYS:
+        rows *= 2
+        hot = hot.where(F.col("__n") > rows)
+    return hot.select(key), size
+
 
-    Keys with more than ``rows`` rows are salted by a hash of ``by`` on the left
-    and repeated on the right; there are at most count / rows of them, which
-    is checked before they are broadcast. Without hot keys it is a plain join.
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, counts: DataFrame | None = None, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """``left`` joined with ``right`` by shuffling, with the hot keys of ``left`` spread over tasks.
+
+    Keys with more than ``rows`` rows of ``left`` are salted by a hash of ``by`` on the
+    left and repeated for every salt on the right, which may hold many rows of a
+    key too. ``counts`` (key, n) gives the rows of each key of ``left`` where they are known, else they are
+    counted. Neither side is broadcast, whatever size the planner takes it for.
     """
-    hot, fits = small(right.where(F.col(n) > rows).select(key), HOT_KEYS)
-    if not fits or hot.isEmpty():
-        return left.join(right.drop(n), key)
-    salted = left.join(hot.withColumn("__hot", F.lit(True)), key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")).otherwise(0)).drop("__hot")
-    spread = right.withColumn("__salt", F.explode(F.when(F.col(n) > rows, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))).drop(n)
-    return salted.join(spread, [key, "__salt"]).drop("__salt")
+    if counts is None:
+        counts = left.groupBy(key).agg(F.count("*").alias("n"))
+    hot, size = hot_keys(counts, key, "n", HOT_ROWS if rows is None else rows)
+    if not size:
+        return left.join(right.hint("merge"), key, how)
+    flagged = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    salted = left.join(flagged, key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")).otherwise(0)).drop("__hot")
+    spread = right.join(flagged, key, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return salted.join(spread.hint("merge"), [key, "__salt"], how).drop("__salt")
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, by: str, rows: int = HOT_ROWS) -> DataFrame:
+    """``left`` joined with ``right`` (one row a key, ``n`` rows of ``left`` each) with hot keys spread over tasks."""
+    return spread_join(left, right.drop(n), key, by, right.select(key, F.col(n).alias("n")), rows=rows)
