@@ -34,6 +34,19 @@ def grams(code: np.ndarray, order: int = ORDER) -> np.ndarray:
     return out
 
 
+#: Lines are scored together with this between them, so that no n-gram spans two of them.
+GAP = "\n" * (ORDER - 1)
+
+
+def line_codes(lines: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of all lines in one array with gaps around them, and where each line starts and ends."""
+    clean = [" ".join(x.lower().split()) for x in lines]
+    raw = np.frombuffer((GAP + GAP.join(clean) + GAP).encode("utf-32-le", "replace"), np.uint32)
+    size = np.fromiter(map(len, clean), np.int64, len(clean))
+    ends = np.cumsum(size + len(GAP))
+    return np.where((raw >= 48) & (raw <= 57), 48, raw).astype(np.uint64), ends - size, ends
+
+
 class CharModel:
     """P(character | up to four before it), each order interpolated with the next shorter."""
 
@@ -60,7 +73,30 @@ class CharModel:
         return np.log(p)
 
 
-def scores(models: Sequence[CharModel], text: str) -> np.ndarray:
-    """(models, characters) log-probabilities of a text."""
-    slots = grams(codes(text))
-    return np.stack([m.log_probabilities(slots) for m in models]) if slots.shape[1] else np.zeros((len(models), 0), np.float32)
+class CharModels:
+    """Several such models whose counts stand side by side, so that one look-up serves all of them."""
+
+    def __init__(self, kinds: Sequence[Sequence[str]]):
+        self.counts = np.zeros((ORDER, 1 << BITS, len(kinds)), np.float32)
+        self.total = np.zeros(len(kinds), np.float32)
+        for m, lines in enumerate(kinds):
+            code, starts, ends = line_codes(lines)
+            inside = code != 10
+            self.total[m] = inside.sum()
+            for k, slots in enumerate(grams(code)):
+                # what ends in a gap is the context of a line's first characters
+                self.counts[k, :, m] = np.bincount(slots if k < ORDER - 1 else slots[inside], minlength=1 << BITS)
+
+    def log_probabilities(self, code: np.ndarray) -> np.ndarray:
+        """(characters, models) natural logarithms for the characters of :func:`line_codes`."""
+        slots = grams(code)
+        seen = self.counts[0][slots[0]]
+        p = (seen + np.float32(0.2)) / (self.total + np.float32(0.2 * _ALPHABET))
+        for k in range(1, ORDER):
+            context = np.concatenate([np.zeros((1, seen.shape[1]), np.float32), seen[:-1]])
+            seen = self.counts[k][slots[k]]
+            p *= np.float32(BACK)
+            p += np.minimum(seen, context)
+            context += np.float32(BACK)
+            p /= context
+        return np.log(p, out=p)

@@ -4,21 +4,22 @@ An interpolated n-gram model is trained on easy prose: fixed sentences and the
 plainest quarter of a bounded sample of the corpus. Every English text is
 scored to its end; the whole distribution of its sentences' surprisal in bits a
 word is what speaks for its difficulty: its mean, median and upper quantile,
-all weighted by words, in one score. Isotonic regression, fitted on the sample,
+all weighted by words, in one score whose weights fit the sample best. Isotonic regression, fitted on the sample,
 maps the text's score monotonically to a school grade.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
 
-from sitelens.llm.ngrams import CharModel, codes, grams
+from sitelens.llm.ngrams import CharModels, line_codes
 
-#: Grades (years of school) up to which a text is basic and standard.
-BASIC, STANDARD = 5.0, 12.0
+#: Grades below which a text is basic and standard: whole years of school up to five and up to eleven, once rounded.
+BASIC, STANDARD = 5.5, 11.5
 #: Easy sentences.
 EASY = [
     "The cat sat on the mat.", "I see a red ball.", "The dog is big and the cat is small.", "She has two pens and one book.", "We go to the park on warm days.", "He can run fast.", "Put the cup on the shelf and wash it.", "There is a bird in the tree.", "Why is the sky so blue?", "My coat is old and soft.",
@@ -32,14 +33,15 @@ FUNCTION_WORDS = {
     "es": "el los las que y por se en es un una para con del al como más pero su sus no hay muchos sobre la lo desde sin".split(),
     "fr": "le les des et dans un une du sur pour est que qui au aux avec ce cette sont plus pas peu ne se la on il par depuis sans".split(),
 }
-#: What the mean, the median and the 90th percentile of a text's surprisal count in its score.
-WEIGHTS = (0.5, 0.25, 0.25)
+#: What the mean, the median and the upper quartile of a text's surprisal may count in its score; the sample decides. Each counts, so the score rises with every sentence.
+WEIGHTS = tuple((a / 10, b / 10, (10 - a - b) / 10) for a in range(1, 9) for b in range(1, 10 - a))
 #: Words a sentence, in the grade of the sample.
 USUAL_LENGTH = 15.6
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…;])\s+|\n")
-#: A name inside a sentence: it says nothing about the reading level, so all names count as the same short one.
-_NAME = re.compile(r"(?<=[a-z,;] )[A-ZÄÖÜÉ]\w+(?: [A-ZÄÖÜÉ]\w+)*")
+#: Capitalised words; those that are met in fewer texts of the sample than ``NAMED`` are names.
+_CAPITAL = re.compile(r"\b[A-ZÄÖÜÉ][^\W\d_]+(?: [A-ZÄÖÜÉ][^\W\d_]+)*")
+NAMED = 5
 _VOWELS = re.compile(r"[aeiouy]{1,2}")
 
 
@@ -48,7 +50,7 @@ def language(text: str) -> str:
     words = _WORD.findall(text.lower())
     best, most = "", 0.0
     for name, known in _KNOWN.items():
-        share = sum(w in known for w in words)
+        share = sum(map(known.__contains__, words))
         if share > most:
             best, most = name, share
     return best
@@ -90,40 +92,87 @@ def isotonic(x: Sequence[float], y: Sequence[float]) -> tuple[np.ndarray, np.nda
     return np.array([p[0] for p in points]), np.array([p[1] for p in points])
 
 
+def _sentences(text: str, known: frozenset[str]) -> tuple[list[str], list[int]]:
+    """The sentences that hold words, and their numbers of words.
+
+    A name says nothing about the reading level: capitalised words that are not ``known`` count as the same short one.
+    """
+
+    def named(match: re.Match) -> str:
+        words = match.group().split(" ")
+        return match.group() if words[0].lower() in known and len(words) == 1 else " ".join([words[0], "Tom"] if words[0].lower() in known else ["Tom"])
+
+    parts, counts = [], []
+    for s in _SENTENCE.split(_CAPITAL.sub(named, text)):
+        if n := len(_WORD.findall(s)):
+            parts.append(s)
+            counts.append(n)
+    return parts, counts
+
+
 class ReadingModel:
     def __init__(self, texts: Sequence[str]):
         """Fitted on English texts of at least a few words; with few of them the fixed sentences carry more weight."""
         texts = [t for t in texts if language(t) == "en"]
         grades = [weak_grade(t) for t in texts]
         easy = sorted(range(len(texts)), key=grades.__getitem__)[: max(1, len(texts) // 4)] if texts else []
-        self.model = CharModel([*EASY * 3, *(_NAME.sub("Tom", texts[k]) for k in easy)])
-        held = [k for k in range(len(texts)) if k not in set(easy[::2])]
-        x = [self.score(texts[k]) for k in held] + [self.score(" ".join(EASY))]
-        y = [grades[k] for k in held] + [1.0]
-        self.x, self.y = isotonic(x, y)
+        met = Counter(w for t in texts for w in set(_WORD.findall(t.lower())))
+        self.known = frozenset(w for w, n in met.items() if n >= NAMED) | frozenset(w for t in EASY for w in _WORD.findall(t.lower())) | _KNOWN["en"]
+        self.model = CharModels([[*EASY * 3, *(s for k in easy for s in _sentences(texts[k], self.known)[0])]])
+        held = sorted(set(range(len(texts))) - set(easy[::2]))
+        found = np.array(self.surprisals([*(texts[k] for k in held), " ".join(EASY)]))
+        y = np.array([*(grades[k] for k in held), 1.0])
+        best = np.inf
+        for weights in WEIGHTS:
+            x = found @ weights
+            fit = isotonic(x, y)
+            error = np.square(np.log1p(np.maximum(np.interp(x, *fit), 0)) - np.log1p(np.maximum(y, 0))).sum()
+            if error < best - 1e-9:
+                best, self.weights, (self.x, self.y) = error, np.array(weights), fit
+
+    def surprisals(self, texts: Sequence[str]) -> list[tuple[float, float, float]]:
+        """For each text the mean (of square roots, so that a menu glued to a sentence does not decide), the median and the upper quartile of the bits a word of all of its sentences, which count by their words.
+
+        The sentences of all texts are scored in one array. A text without words has 0 everywhere.
+        """
+        cut = [_sentences(t, self.known) for t in texts]
+        lines = [s for parts, _ in cut for s in parts]
+        if not lines:
+            return [(0.0, 0.0, 0.0)] * len(texts)
+        code, starts, ends = line_codes(lines)
+        sums = np.concatenate([[0.0], np.cumsum(self.model.log_probabilities(code)[:, 0], dtype=np.float64)])
+        bits = (sums[starts] - sums[ends]) / np.log(2)
+        out, at = [], 0
+        for parts, counts in cut:
+            if not parts:
+                out.append((0.0, 0.0, 0.0))
+                continue
+            words = np.array(counts, float)
+            own = bits[at : at + len(parts)]
+            at += len(parts)
+            each = own / words
+            order = np.argsort(each, kind="stable")
+            total = words.sum()
+            middle = (np.cumsum(words[order]) - words[order] / 2) / total
+            median, upper = np.interp([0.5, 0.75], middle, each[order])
+            out.append((float(((np.sqrt(each) * words).sum() / total) ** 2), float(median), float(upper)))
+        return out
 
     def surprisal(self, text: str) -> tuple[float, float, float]:
-        """The mean, the median and the 90th percentile of the bits a word of all of the text's sentences, which count by their words."""
-        parts = [s for s in _SENTENCE.split(_NAME.sub("Tom", text)) if _WORD.search(s)]
-        if not parts:
-            return 0.0, 0.0, 0.0
-        slots = [grams(codes(s)) for s in parts]
-        log = self.model.log_probabilities(np.concatenate(slots, axis=1))
-        ends = np.cumsum([s.shape[1] for s in slots])
-        bits = -np.add.reduceat(log, np.concatenate([[0], ends[:-1]])) / np.log(2)
-        words = np.array([len(_WORD.findall(s)) for s in parts], float)
-        each = bits / words
-        order = np.argsort(each, kind="stable")
-        middle = (np.cumsum(words[order]) - words[order] / 2) / words.sum()
-        median, upper = np.interp([0.5, 0.9], middle, each[order])
-        return float((each * words).sum() / words.sum()), float(median), float(upper)
+        return self.surprisals([text])[0]
+
+    def scores(self, texts: Sequence[str]) -> list[float]:
+        """One number for the whole distribution of each text; it rises with the surprisal of every sentence."""
+        return (np.array(self.surprisals(texts)).reshape(-1, 3) @ self.weights).tolist()
 
     def score(self, text: str) -> float:
-        """One number for the whole distribution; it rises with the surprisal of every sentence."""
-        return sum(w * x for w, x in zip(WEIGHTS, self.surprisal(text)))
+        return self.scores([text])[0]
+
+    def grades(self, texts: Sequence[str]) -> list[float]:
+        return np.interp(self.scores(texts), self.x, self.y).tolist() if len(texts) else []
 
     def grade(self, text: str) -> float:
-        return float(np.interp(self.score(text), self.x, self.y))
+        return self.grades([text])[0]
 
 
 def band(grade: float) -> str:
