@@ -33,8 +33,8 @@ FUNCTION_WORDS = {
     "es": "el los las que y por se en es un una para con del al como más pero su sus no hay muchos sobre la lo desde sin".split(),
     "fr": "le les des et dans un une du sur pour est que qui au aux avec ce cette sont plus pas peu ne se la on il par depuis sans".split(),
 }
-#: What the mean, the median and the upper quartile of a text's surprisal may count in its score; the sample decides. Each counts, so the score rises with every sentence.
-WEIGHTS = tuple((a / 10, b / 10, (10 - a - b) / 10) for a in range(1, 9) for b in range(1, 10 - a))
+#: What the mean, the median and the upper quartile of a text's surprisal may count in its score; the sample decides. The mean has half or more, so the score rises with every sentence.
+WEIGHTS = tuple((a / 10, b / 10, (10 - a - b) / 10) for a in range(5, 9) for b in range(1, 10 - a))
 #: Words a sentence, in the grade of the sample.
 USUAL_LENGTH = 15.6
 _WORD = re.compile(r"[^\W\d_]+")
