@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
+_END = object()
 _DECODER = json.JSONDecoder(strict=False)
 _FENCE = re.compile(r"```[a-zA-Z]*\s*")
 _NOT_ALNUM = re.compile(r"[^0-9a-z]+")
@@ -53,18 +55,26 @@ def as_list(value) -> list:
     return [] if value is None else value if isinstance(value, list) else [value]
 
 
-def find_object(value, names: set[str], depth: int = 4) -> dict | None:
-    """The outermost object that has one of ``names`` (plain names), looking through wrappers."""
-    if isinstance(value, str):
-        value = read_json(value) if value.lstrip()[:1] in ("{", "[", '"', "`") else None
-    if isinstance(value, list):
-        value = value[0] if len(value) == 1 else None
-    if not isinstance(value, dict):
-        return find_object(value, names, depth - 1) if isinstance(value, (list, str)) and depth else None
-    if any(plain_name(k) in names for k in value):
-        return value
-    if depth:
-        for inner in value.values():
-            if isinstance(inner, (dict, list, str)) and (found := find_object(inner, names, depth - 1)) is not None:
-                return found
-    return None
+def find_objects(value, names: set[str]) -> list[dict]:
+    """The outermost objects that have one of ``names`` (plain names), looking through wrappers however deep.
+
+    Of a list all such objects are taken, in order; of an object's fields those of the first that leads to any.
+    """
+    todo: list[Iterator] = [iter([value])]
+    fields = [False]  # whether the values of a level are an object's fields, of which the first that leads somewhere is enough
+    before = [0]
+    found: list[dict] = []
+    while todo:
+        node = next(todo[-1], _END) if not fields[-1] or len(found) == before[-1] else _END
+        if node is _END:
+            todo.pop(), fields.pop(), before.pop()
+            continue
+        if isinstance(node, str):
+            node = read_json(node) if node.lstrip()[:1] in ("{", "[", '"', "`") else None
+        if isinstance(node, dict) and any(plain_name(k) in names for k in node):
+            found.append(node)
+        elif isinstance(node, (dict, list)):
+            todo.append(iter(node if isinstance(node, list) else node.values()))
+            fields.append(isinstance(node, dict))
+            before.append(len(found))
+    return found

@@ -1,10 +1,10 @@
 """Deeply nested records to related flat tables, in a single pass.
 
 A depth-first visitor walks each record once and emits one tagged row for each
-child object or value: the tag names the table, ``node_id`` is its primary key,
+child object or value at any depth, and one for the record itself: the tag names the table, ``node_id`` is its primary key,
 ``parent_id`` the key of the row it hangs from and ``payload`` its own fields
 as JSON. :func:`write_tables` partitions the rows by tag; :func:`typed_table`
-applies a tag's schema. The plan has one Python stage and no shuffle.
+applies a tag's schema and keeps the fields that no schema knows. The plan has one Python stage and no shuffle.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.functions.jsonlite import as_list, find_object, plain_name, read_json
+from sitelens.functions.jsonlite import as_list, find_objects, plain_name, read_json
 
 
 @dataclass(frozen=True)
@@ -48,6 +48,8 @@ DETAIL = (
 
 #: The schema of each table's payload; a bare value is held in ``value``.
 PAYLOADS = {
+    "plan": "executive_summary string, platform string",
+    "issue_detail": "title string, length string, count string",
     "recommendation": "title string, problem string, why_it_matters string, action string, priority string, impact string, effort string, estimated_result string, issue_code string, affected_page_count string",
     "fix_step": "value string",
     "code_snippet": "value string, language string, filename string, code string",
@@ -86,39 +88,64 @@ def _payload(item, skip: set[str], snake: dict[str, str]) -> str:
     return json.dumps({snake.get(n, k): v for k, v in item.items() if (n := plain_name(k)) not in skip}, ensure_ascii=False)
 
 
-def visitor(spec: tuple[Child, ...], payload: bool = True) -> Callable[[str, str], Iterator[tuple]]:
-    """A function (root id, text) -> rows (tag, node_id, parent_id, ord, sub_ord, payload) in depth-first order."""
+def _reach(node, path: tuple[str, ...]) -> list:
+    """The elements at the end of a path of names; a list on the way is gone through element by element."""
+    nodes = [node]
+    for name in path:
+        inside = []
+        for n in nodes:
+            n = read_json(n) if isinstance(n, str) else n
+            inside += [v for d in (n if isinstance(n, list) else [n]) if isinstance(d, dict) and (v := _field(d, name)) is not None]
+        nodes = inside
+    return [x for v in nodes for x in as_list(v)]
+
+
+def visitor(spec: tuple[Child, ...], payload: bool = True, root: str | None = None) -> Callable[[str, str], Iterator[tuple]]:
+    """A function (root id, text) -> rows (tag, node_id, parent_id, ord, sub_ord, payload) in depth-first order.
+
+    ``ord`` is the position in the outermost list, ``sub_ord`` that inside the
+    parent child, -1 for the outermost. A text of several records numbers their children on. ``root`` names the
+    table of the records' own fields; without it they give no row.
+    """
     compiled = _compiled(spec, {})
     roots = {path[0] for _, path, _ in compiled}
     snake = {plain_name(f.split()[0]): f.split()[0] for ddl in PAYLOADS.values() for f in ddl.split(", ")}
+    inner_names: dict[int, set[str]] = {}
+
+    def fields(item, children: tuple) -> str | None:
+        if not payload:
+            return None
+        if (skip := inner_names.get(id(children))) is None:
+            skip = inner_names[id(children)] = {path[0] for _, path, _ in children}
+        return _payload(item, skip, snake)
+
+    def walk(item, children: tuple, key: str, outermost: int | None, start: list[int]) -> Iterator[tuple]:
+        for c, (tag, path, inner) in enumerate(children):
+            first = start[c] if start else 0
+            elements = _reach(item, path)
+            for i, element in enumerate(elements, first):
+                if element is None:
+                    continue
+                if isinstance(element, str) and inner and element[:1] == "{":
+                    element = read_json(element) or element
+                own = f"{key}/{tag}/{i}"
+                yield tag, own, key, i if outermost is None else outermost, -1 if outermost is None else i, fields(element, inner)
+                if inner and isinstance(element, dict):
+                    yield from walk(element, inner, own, i if outermost is None else outermost, [])
+            if start:
+                start[c] += len(elements)
 
     def visit(root_id: str, text: str) -> Iterator[tuple]:
-        value = find_object(read_json(text), roots)
-        if value is None:
-            return
-        for tag, path, inner in compiled:
-            node = value
-            for name in path:
-                node = _field(node, name) if isinstance(node, dict) else None
-                if isinstance(node, str) and name != path[-1]:
-                    node = read_json(node)
-            for i, item in enumerate(as_list(node)):
-                if item is None:
-                    continue
-                key = f"{root_id}/{tag}/{i}"
-                if isinstance(item, str) and inner and item[:1] == "{":
-                    item = read_json(item) or item
-                yield tag, key, root_id, i, -1, _payload(item, {p[0] for _, p, _ in inner}, snake) if payload else None
-                if isinstance(item, dict):
-                    for sub_tag, sub_path, _ in inner:
-                        for j, leaf in enumerate(as_list(_field(item, sub_path[0]))):
-                            if leaf is not None:
-                                yield sub_tag, f"{key}/{sub_tag}/{j}", key, i, j, _payload(leaf, set(), snake) if payload else None
+        start = [0] * len(compiled)
+        for k, value in enumerate(find_objects(read_json(text), roots)):
+            if root is not None:
+                yield root, f"{root_id}/{root}/{k}", root_id, k, -1, fields(value, compiled)
+            yield from walk(value, compiled, root_id, None, start)
 
     return visit
 
 
-def flatten(df: DataFrame, key: str, text: str | Column, spec: tuple[Child, ...], payload: bool = True) -> DataFrame:
+def flatten(df: DataFrame, key: str, text: str | Column, spec: tuple[Child, ...], payload: bool = True, root: str | None = None) -> DataFrame:
     """Tagged rows of every child in ``text`` of every row of ``df``.
 
     ``key`` must be unique (see :func:`sitelens.tables.latest`). Null, empty
@@ -131,7 +158,7 @@ def flatten(df: DataFrame, key: str, text: str | Column, spec: tuple[Child, ...]
     narrow = df.select(F.col(key).cast("string").alias("k"), text.alias("t")).where("k is not null and length(t) > 6")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        visit = visitor(spec, payload)
+        visit = visitor(spec, payload, root)
         for batch in batches:
             out: list[list] = [[] for _ in _NODE]
             for root_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -144,15 +171,25 @@ def flatten(df: DataFrame, key: str, text: str | Column, spec: tuple[Child, ...]
     return narrow.mapInArrow(run, NODE_DDL)
 
 
-def typed_table(nodes: DataFrame, tag: str) -> DataFrame:
-    """One flat table: keys, positions and the payload's fields under the tag's schema."""
+def typed_table(nodes: DataFrame, tag: str, schema: str | None = None) -> DataFrame:
+    """One flat table: keys, positions, the payload's fields under the tag's schema, and in ``rest`` (name to JSON text) the fields that it lacks."""
+    schema = schema or PAYLOADS[tag]
+    names = [f.split()[0] for f in schema.split(", ")]
+    # a map's own commas are no field separators
+    names = [n for n in names if "<" not in n and ">" not in n]
+    rest = F.map_filter(F.from_json("payload", "map<string,string>"), lambda k, _: ~k.isin(names))
     return (
         nodes.where(F.col("tag") == tag)
-        .withColumn("p", F.from_json("payload", PAYLOADS[tag]))
-        .select("root_id", "node_id", "parent_id", "ord", "sub_ord", *[F.col("p")[f.split()[0]].alias(f"{f.split()[0]}") for f in PAYLOADS[tag].split(", ")])
+        .withColumns({"p": F.from_json("payload", schema), "rest": rest})
+        .select("root_id", "node_id", "parent_id", "ord", "sub_ord", *[F.col("p")[n].alias(n) for n in names], "rest")
     )
 
 
 def write_tables(nodes: DataFrame, folder: str, mode: str = "overwrite") -> None:
     """All tables in one write, a sub-folder for each tag."""
     nodes.write.mode(mode).partitionBy("tag").parquet(folder)
+
+
+def read_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The tagged rows of :func:`write_tables`; a filter on ``tag`` reads that table's files alone."""
+    return spark.read.schema(NODE_DDL).parquet(folder)

@@ -56,12 +56,18 @@ def cut(df: DataFrame) -> DataFrame:
     driver ends.
     """
     spark = df.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    folder = cut_folder(spark)
     df.write.parquet(folder)
-    _TABLES.append((spark, folder))
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def cut_folder(spark: SparkSession) -> str:
+    """A new folder for a table below the shared checkpoint folder, removed with those of :func:`cut`."""
+    folder = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    _TABLES.append((spark, folder))
+    return folder
+
+
 def drop_cuts(spark: SparkSession, keep: int = 0) -> None:
     """Remove the tables that :func:`cut` has written in this session, but for the first ``keep``; frames that read them are then void."""
     path = spark._jvm.org.apache.hadoop.fs.Path
