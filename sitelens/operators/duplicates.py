@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions.text import bits_apart, content_hash, simhash
@@ -63,14 +63,19 @@ def near_hashes(values: DataFrame, within: Sequence[str], value: str = "simhash"
     return met.select(*[F.col(f"a.{c}").alias(c) for c in within], F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b"), apart.alias("distance")).distinct()
 
 
-def near_pairs(pages: DataFrame, within: Sequence[str] = (), distance: int = 3, text: str = "body_text", key: str = "page_id", label: str = "url", order: str = "page_ord") -> DataFrame:
+def near_pairs(pages: DataFrame, within: Sequence[str] = (), distance: int = 3, text: str = "body_text", key: str = "page_id", label: str = "url", order: str = "page_ord", first: int | None = None) -> DataFrame:
     """(within, id_a, id_b, url_a, url_b, ord_a, ord_b, distance, similarity) of near-duplicate texts, the earlier first.
 
     Distance 0 is not reported (see :func:`exact_groups`). Similarity is the
-    share of equal bits in whole per cent.
+    share of equal bits in whole per cent. With ``first`` only pairs of the first so many rows of each hash are
+    given: they hold the first ``first`` - 1 pairs of each ``within`` by order, as a later row of a hash can be
+    put for none of its earlier ones without coming after all their pairs. Without it two large groups of copies meet in all their pairs.
     """
     rows = cut(pages.where(F.length(text) >= LEAST_CHARS).select(*within, key, label, order, simhash(F.col(text)).alias("simhash")))
     pairs = near_hashes(rows, within, "simhash", distance)
+    if first is not None:
+        rank = F.row_number().over(Window.partitionBy(*within, "simhash").orderBy(order, key))
+        rows = rows.withColumn("__r", rank).where(F.col("__r") <= first).drop("__r")
     side = lambda s: rows.select(*within, F.col("simhash").alias(f"h_{s}"), F.struct(F.col(order).alias("o"), F.col(key).alias("k"), F.col(label).alias("l")).alias(s))
     met = pairs.join(side("a"), [*within, "h_a"]).join(side("b"), [*within, "h_b"])
     first, last = F.least("a", "b"), F.greatest("a", "b")

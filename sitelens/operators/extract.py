@@ -57,6 +57,7 @@ class _Reader(HTMLParser):
         self.images: list[dict] = []
         self.ld: list[str] | None = None
         self.blocks: list[str] = []
+        self.structured = False
         self.loaded: list[str] = []
 
     def handle_starttag(self, tag, attrs):
@@ -135,12 +136,14 @@ class _Reader(HTMLParser):
         self.anchor = None
 
     def types(self) -> list[str]:
+        """The types of all blocks that can be read; ``structured`` tells whether any could."""
         out = []
         for block in self.blocks:
             try:
                 data = json.loads(block)
             except ValueError:
                 continue
+            self.structured = True
             for item in data if isinstance(data, list) else [data]:
                 if isinstance(item, dict):
                     inner = [item] if item.get("@type") else item.get("@graph") or []
@@ -166,9 +169,9 @@ class _Reader(HTMLParser):
         types = self.types()
         mixed = self.loaded if own and own[0] == "https" else []
         return {
-            "title": (_SPACE.sub(" ", "".join(self.title)).strip() or None) if self.title is not None else None, "meta_description": meta("description") or meta("og:description"), "meta_robots": (meta("robots") or "").lower() or None,
+            "title": ("".join(self.title).strip() or None) if self.title is not None else None, "meta_description": meta("description") or meta("og:description"), "meta_robots": (meta("robots") or "").lower() or None,
             "canonical_url": (resolved(self.canonical, self.url) or self.canonical) if self.canonical else None, "h1_list": [t for n, t in self.headings if n == 1], "headings": [{"level": n, "text": t} for n, t in self.headings],
-            "body_text": body, "word_count": len(body.split()), "images": self.images, "internal_links": inner, "external_links": outer, "has_structured_data": bool(self.blocks), "structured_data_types": types, "mixed_content": mixed or None,
+            "body_text": body, "word_count": len(body.split()), "images": self.images, "internal_links": inner, "external_links": outer, "has_structured_data": self.structured, "structured_data_types": types, "mixed_content": mixed or None,
         }
 
 

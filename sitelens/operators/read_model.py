@@ -49,7 +49,7 @@ def issue_groups(issues: DataFrame, urls: DataFrame) -> DataFrame:
     """(scan_id, rank, code, category, severity, n, n_urls, urls): issues by code, worst and most frequent first in each scan.
 
     ``urls`` are the distinct page URLs in the order of the issues (the first
-    thousand; ``n_urls`` counts all); category and severity are those of the first issue.
+    thousand; ``n_urls`` counts all and :func:`issue_group_urls` lists all); category and severity are those of the first issue.
     """
     rows = issues.join(urls.select("page_id", F.col("url").alias("page_url")), "page_id", "left")
     seen = rows.where("page_url is not null").groupBy("scan_id", "code", "page_url").agg(F.min("issue_id").alias("first_id"))
@@ -60,6 +60,27 @@ def issue_groups(issues: DataFrame, urls: DataFrame) -> DataFrame:
     return by.join(counted, ["scan_id", "code"], "left").select("scan_id", rank.alias("rank"), "code", "category", "severity", "n", F.coalesce("n_urls", F.lit(0)).alias("n_urls"), F.coalesce("urls", none).alias("urls"))
 
 
+def issue_group_urls(issues: DataFrame, urls: DataFrame) -> DataFrame:
+    """(scan_id, code, first_id, page_url): every distinct page URL of every group as rows; ``first_id``, the first issue with it, gives their order."""
+    rows = issues.join(urls.select("page_id", F.col("url").alias("page_url")), "page_id")
+    return rows.where("page_url is not null").groupBy("scan_id", "code", "page_url").agg(F.min("issue_id").alias("first_id")).select("scan_id", "code", "first_id", "page_url")
+
+
+def with_details(issues: DataFrame) -> DataFrame:
+    """Issues with column detail_fields, the parsed detail: names to JSON texts, null where there is no JSON object."""
+    return issues.withColumn("detail_fields", F.when(F.col("detail").rlike(r"^\s*\{"), F.from_json("detail", "map<string,string>")))
+
+
+def group_details(issues: DataFrame) -> DataFrame:
+    """(scan_id, code, issue_id, detail_fields): the details of every group as rows, in any number."""
+    return with_details(issues).where("detail_fields is not null").select("scan_id", "code", "issue_id", "detail_fields")
+
+
+def total(found: DataFrame, size: int = 50) -> DataFrame:
+    """(total, pages): the rows of a list and the pages of ``size`` rows they fill, for what :func:`paged` shows."""
+    return found.agg(F.count("*").alias("total")).select("total", F.ceil(F.col("total") / size).cast("bigint").alias("pages"))
+
+
 def first_of_group(issues: DataFrame, k: int = 3) -> DataFrame:
     """The first ``k`` issues of each code of a scan."""
     rank = F.row_number().over(Window.partitionBy("scan_id", "code").orderBy("issue_id"))
@@ -117,7 +138,7 @@ def metrics_of_scan(metrics: DataFrame, pages: DataFrame, scan_id: str) -> DataF
 
 
 def nested(scans: DataFrame, pages: DataFrame) -> DataFrame:
-    """(scan_id, root_url, n_pages, pages): each scan with its first thousand pages in order and the number of all."""
+    """(scan_id, root_url, n_pages, pages): each scan with its first thousand pages in order and the number of all; the pages themselves are the rows of the page table."""
     rows = pages.select("scan_id", "page_ord", "page_id", F.struct("page_ord", "page_id", "url").alias("page"))
     lists = first_listed(rows, ["scan_id"], ["page_ord", "page_id"], "page", "pages")
     return with_counts(scans.select("scan_id", "root_url"), "scan_id", n_pages=pages.select("scan_id")).join(lists, "scan_id", "left")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sitelens.functions.text import bit_string, content_hash, reading_ease, shingles, simhash
 from sitelens.functions.urls import normal_url, query_fields, url_host, url_path
-from sitelens.operators import crawl, duplicates, read_model, recommend, scores, search, site_rules
+from sitelens.operators import audit, crawl, duplicates, read_model, recommend, scores, search, site_rules
 from sitelens.operators.rules import page_issues
-from sitelens.tables import latest, load
+from sitelens.session import cut
+from sitelens.tables import latest, load, numbered
 
 S, D = SparkSession, DataFrame
 
@@ -61,22 +62,16 @@ def page_and_link_issues(p: D) -> D:
 
 
 def every_issue(p: D, roots: D, measured: D) -> D:
-    """Every issue of crawled pages: those of ``page_and_link_issues``, of equal and similar texts, orphans, platforms and vitals.
-
-    ``roots`` has (scan_id, root_url), ``measured`` the vitals with scan_id, page_id and url. Crawled pages
-    are taken as their scan's sitemap; near duplicates and orphans are sampled as their rules say.
+    """Every issue of crawled pages. ``roots`` has (scan_id, root_url), ``measured`` the vitals with scan_id, page_id and url. Crawled pages
+    are taken as their scan's sitemap; the site's own files and a probe of outer links are not in the tables.
     """
-    listed = p.select("scan_id", "url", "page_id", F.col("page_ord").alias("ord"))
-    others = [
-        site_rules.duplicate_content(p), site_rules.near_duplicate_content(p), site_rules.orphan_issues(site_rules.orphans(listed, p, roots, normal_url)),
-        site_rules.platform_issues(p, site_rules.platforms(p)), site_rules.vitals_issues(measured, "scan_id", "page_id", "url"),
-    ]
-    return _numbered(page_and_link_issues(p), others, 2000)
+    return audit.audit(p, roots, measured=measured)
 
 
 def found_issues(spark: S, folder: str) -> D:
     """Every issue the page rules, the rules over several pages, the platform rules and the vitals rules find."""
-    p = pages(spark, folder, *RULE_COLUMNS, "final_url", "external_links", "body_text", "headers", "structured_data_types")
+    # eleven rules read the pages: the rows that count are told apart once
+    p = cut(pages(spark, folder, *RULE_COLUMNS, "final_url", "external_links", "body_text", "headers", "structured_data_types"))
     m = load(spark, folder, "page_metrics").dropDuplicates(["metric_id"]).select("page_id", "lcp", "cls", "tbt")
     return every_issue(p, scans(spark, folder), m.join(stored(spark, folder), "page_id", "left"))
 
@@ -143,7 +138,7 @@ def orphan_pages(spark: S, folder: str) -> D:
 
 
 def platforms(spark: S, folder: str) -> D:
-    return site_rules.platforms(pages(spark, folder, "body_text", "headers", "images", "internal_links")).select("scan_id", "platform", "confidence")
+    return site_rules.platforms(pages(spark, folder, "body_text", "headers", "images", "internal_links")).select("scan_id", "platform", "confidence", F.array_join("signals", ",").alias("signals"))
 
 
 def platform_rules(spark: S, folder: str) -> D:
@@ -166,10 +161,10 @@ def simhashes(spark: S, folder: str) -> D:
 
 
 def near_hash_pairs(spark: S, folder: str) -> D:
-    """Pairs of different SimHash values of documents at most 6 bits apart."""
+    """Pairs of different SimHash values of documents at most 4 bits apart, met on keys of 37 bits."""
     docs = documents(spark, folder)
     hashes = docs.where(F.length("text") >= duplicates.LEAST_CHARS).select(simhash(F.col("text")).alias("simhash"))
-    pairs = duplicates.near_hashes(hashes, (), "simhash", 6, 9)
+    pairs = duplicates.near_hashes(hashes, (), "simhash", 4, 12)
     return pairs.select(F.least(bit_string(F.col("h_a")), bit_string(F.col("h_b"))).alias("hash_a"), F.greatest(bit_string(F.col("h_a")), bit_string(F.col("h_b"))).alias("hash_b"), F.col("distance").cast("int").alias("distance"))
 
 
@@ -177,6 +172,11 @@ def near_duplicate_pages(spark: S, folder: str) -> D:
     return duplicates.near_pairs(pages(spark, folder, "body_text"), ["scan_id"], 6).select("scan_id", "id_a", "id_b", F.col("distance").cast("int").alias("distance"), "similarity")
 
 
+def near_duplicate_rule(spark: S, folder: str) -> D:
+    """Near duplicates as the rule reports them: at most 3 bits apart, the first ten pairs of a scan."""
+    return site_rules.near_duplicate_content(pages(spark, folder, "body_text")).select("scan_id", "page_id", "code", F.get_json_object("detail", "$.urlB").alias("url_b"))
+
+
 def shingle_counts(spark: S, folder: str) -> D:
     docs = documents(spark, folder)
     return docs.select("doc_id", F.size(shingles(F.col("text"))).alias("n_shingles"), content_hash(F.col("text")).alias("content_hash"))
@@ -219,6 +219,12 @@ def opportunities(spark: S, folder: str) -> D:
     return m.select("metric_id", F.coalesce(F.json_array_length("opportunities"), F.lit(0)).alias("n_opportunities"))
 
 
+def opportunity_rows(spark: S, folder: str) -> D:
+    """What could make each crawled page faster by the estimate, as rows with title and savings."""
+    p = pages(spark, folder, "response_time_ms", "images", "word_count")
+    return site_rules.estimated_opportunities(p, "page_id").select("page_id", "ord", "kind", "savings_ms")
+
+
 def severity_pivot(spark: S, folder: str) -> D:
     return scores.severity_counts(issues(spark, folder))
 
@@ -235,6 +241,29 @@ def top_deductions(spark: S, folder: str) -> D:
     return scores.deductions(numbered).select("scan_id", "rank", "category", "code", "severity", "deduction", "n")
 
 
+def issue_group_urls(spark: S, folder: str) -> D:
+    """All page URLs of each issue group, one row each, with the issue that gives their order; nothing is cut."""
+    return read_model.issue_group_urls(issues(spark, folder), stored(spark, folder))
+
+
+def shared_title_urls(spark: S, folder: str) -> D:
+    """All pages of each title that several pages of a scan share, in page order."""
+    found = site_rules.duplicate_field(pages(spark, folder, "title"), "title")
+    return site_rules.group_rows(found, ["scan_id", "norm"]).select("scan_id", F.col("norm").alias("title"), "ord", "page_id", "url")
+
+
+def scan_pages(spark: S, folder: str) -> D:
+    """All stored pages of each scan in order, with their places."""
+    p = stored(spark, folder, "page_ord")
+    return numbered(p, ["scan_id"], "page_ord", "page_id").select("scan_id", "ord", "page_id")
+
+
+def page_total(spark: S, folder: str) -> D:
+    """The number of pages a search finds, for the list's pages."""
+    found = read_model.page_search(stored(spark, folder, "title", "status_code"), "garden", 200)
+    return read_model.total(found, size=50)
+
+
 def issue_groups(spark: S, folder: str) -> D:
     return read_model.issue_groups(issues(spark, folder), stored(spark, folder)).select("scan_id", "rank", "code", "severity", "n", "n_urls")
 
@@ -291,6 +320,19 @@ def recommendations(spark: S, folder: str) -> D:
     return recommend.recommendations(issues(spark, folder)).select("scan_id", "rank", "code", "phase", "priority", "effort", "affected")
 
 
+def recommendation_texts(spark: S, folder: str) -> D:
+    """What each recommendation says on the platform of its scan, with its first three pages."""
+    on = site_rules.platforms(pages(spark, folder, "body_text", "headers", "images", "internal_links"))
+    recs = recommend.recommendations(issues(spark, folder, "title"), platforms=on, urls=stored(spark, folder))
+    return recs.select("scan_id", "rank", "code", "platform", "problem", F.size("how_to_fix").alias("n_steps"), F.col("code_snippet.language").alias("language"), F.array_join("sample_pages", " ").alias("sample_pages"))
+
+
+def executive_summaries(spark: S, folder: str) -> D:
+    on = site_rules.platforms(pages(spark, folder, "body_text", "headers", "images", "internal_links"))
+    groups = read_model.issue_groups(issues(spark, folder), stored(spark, folder))
+    return recommend.summary(scan_scores(spark, folder), groups, scans(spark, folder), on)
+
+
 def action_plan(spark: S, folder: str) -> D:
     return recommend.plan(recommend.recommendations(issues(spark, folder)))
 
@@ -299,19 +341,19 @@ def weighted_mean(spark: S, folder: str) -> D:
     """Search-analytics totals on order lines: parts as keys, quantities as clicks, prices as positions."""
     rows = load(spark, folder, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("clicks"), F.col("l_quantity").cast("int").alias("impressions"), F.floor("l_extendedprice").alias("position"))
     t = search.totals(rows, "flag")
-    return t.select("flag", F.col("clicks").cast("bigint").alias("clicks"), F.col("impressions").cast("bigint").alias("impressions"), F.floor(F.col("position") * 10 + 0.5).cast("bigint").alias("position_tenths"))
+    return t.select("flag", F.col("clicks").cast("bigint").alias("clicks"), F.col("impressions").cast("bigint").alias("impressions"), F.floor(F.col("ctr") * 100 + 0.5).cast("bigint").alias("ctr_hundredths"), F.floor(F.col("position") * 10 + 0.5).cast("bigint").alias("position_tenths"))
 
 
 def crawl_levels(spark: S, folder: str) -> D:
-    """The stored pages of each scan met from its first page over internal links."""
+    """The stored pages of each scan met from its first page over internal links, within the scan's own bounds of depth and pages."""
     p = pages(spark, folder, "internal_links")
     seeds = p.groupBy("scan_id").agg(F.min_by("url", F.struct("page_ord", "page_id")).alias("url")).select("scan_id", "url", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("seed_ord"))
     edges = site_rules.links(p).select("scan_id", "from_url", "link_ord", "target_url")
-    return crawl.crawl_order(seeds, edges, 2, 100)
+    return crawl.crawl_order(seeds, edges, bounds=scans(spark, folder, "max_depth", "max_pages"))
 
 
 QUERIES = {f.__name__: f for f in (
     page_issue_rows, heading_jumps, issue_code_counts, found_issue_counts, duplicate_titles, duplicate_descriptions, links_exploded, link_counts, broken_links, external_broken, redirected, orphan_pages, platforms, platform_rules, exact_duplicates, duplicate_content, simhashes,
-    near_hash_pairs, near_duplicate_pages, shingle_counts, readability, url_quality, normal_urls, vitals, vitals_issues, metric_defaults, opportunities, severity_pivot, scan_scores, top_deductions, issue_groups, first_issues, issues_with_pages,
-    issue_filter, page_search, page_list, recent_scans, scan_summary, export_issues, root_pages, nested_scans, pages_with_metrics, recommendations, action_plan, weighted_mean, crawl_levels,
+    near_hash_pairs, near_duplicate_pages, near_duplicate_rule, issue_group_urls, shared_title_urls, scan_pages, page_total, opportunity_rows, shingle_counts, readability, url_quality, normal_urls, vitals, vitals_issues, metric_defaults, opportunities, severity_pivot, scan_scores, top_deductions, issue_groups, first_issues, issues_with_pages,
+    issue_filter, page_search, page_list, recent_scans, scan_summary, export_issues, root_pages, nested_scans, pages_with_metrics, recommendations, recommendation_texts, executive_summaries, action_plan, weighted_mean, crawl_levels,
 )}

@@ -47,7 +47,7 @@ _TESTS = [
     ("URL_HAS_UNDERSCORES", "onpage", "low", f"contains({_PATH('trim(url)')}, '_')"),
     ("EXCESSIVE_URL_PARAMETERS", "onpage", "low", f"({_PATH('trim(url)')}) IS NOT NULL AND {_FIELDS('url')} > 3"),
     ("MISSING_STRUCTURED_DATA", "onpage", "low", "status_code = 200 AND NOT coalesce(has_structured_data, false) AND depth <= 1"),
-    ("POOR_READABILITY", "onpage", "medium", "word_count > 150 AND flesch_score < 45"),
+    ("POOR_READABILITY", "onpage", "low", "word_count > 150 AND flesch_score < 45"),
     ("NO_HTTPS", "security", "high", "NOT starts_with(url, 'https://')"),
     ("INVALID_SSL_CERT", "security", "critical", "NOT ssl_valid"),
     ("SSL_EXPIRING_SOON", "security", "medium", "coalesce(ssl_valid, true) AND ssl_days_remaining > 0 AND ssl_days_remaining < 15"),
@@ -93,6 +93,7 @@ _MARK_LISTS = {
     "wix": (5, ["parastorage.com", "wix.com", "wix-warmup-data"]), "squarespace": (5, ["squarespace.com", "static1.squarespace.com"]), "nextjs": (5, ["__NEXT_DATA__", "_next/static"]),
 }
 _POINTS = ", ".join(f"sum(CASE WHEN {' OR '.join(f"contains(raw, '{m}')" for m in ms)} THEN {n} ELSE 0 END" + (" + CASE WHEN contains(u, '/collections/') OR contains(u, '/products/') THEN 2 ELSE 0 END" if k == "shopify" else "") + f") AS {k}" for k, (n, ms) in _MARK_LISTS.items())
+_HOLDS = ", ".join(f"bool_or({' OR '.join(f"contains(raw, '{m}')" for m in ms)}) AS h_{k}" for k, (n, ms) in _MARK_LISTS.items())
 _ORDER = ["shopify", "woocommerce", "wordpress", "webflow", "wix", "squarespace", "nextjs"]
 _ADVICE = """CASE family WHEN 'links' THEN 'Point the links at pages that answer, or redirect the old addresses.' WHEN 'titles' THEN 'Give every page a title of its own of at most 60 characters.' WHEN 'descriptions' THEN 'Describe every page in 120 to 158 characters.'
   WHEN 'structured_data' THEN 'Describe the page''s subject in JSON-LD and validate it.' WHEN 'product_urls' THEN 'Link to products by their own URL and not by a collection''s.' WHEN 'loading' THEN 'Load the main image first and scripts later.' ELSE 'Review the pages listed and scan again.' END"""
@@ -104,6 +105,23 @@ rec2 AS (SELECT *, CASE family WHEN 'other' THEN 90 WHEN 'structured_data' THEN
   CASE family WHEN 'other' THEN priority WHEN 'descriptions' THEN 'medium' ELSE 'high' END AS impact FROM rec),
 rec3 AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY (effort = 'quick_win' AND impact = 'high') DESC, {_RANK}, affected DESC, code) AS rank FROM rec2 QUALIFY rank <= 10)"""
 
+_PTS = f"""pts AS (SELECT scan_id, {_POINTS}, {_HOLDS} FROM (SELECT scan_id, lower(coalesce(url, '')) AS u, coalesce(body_text, '') || ' ' || coalesce(headers::VARCHAR, '') || ' ' || coalesce(images::VARCHAR, '') || ' ' || coalesce(internal_links::VARCHAR, '') AS raw
+        FROM p QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY page_ord, page_id) <= 10) GROUP BY scan_id),
+platform AS (SELECT scan_id, CASE {" ".join(f"WHEN {k} >= 4 THEN '{k}'" for k in _ORDER)} ELSE 'custom' END AS platform, CASE {" ".join(f"WHEN {k} >= 4 THEN least(100, {k} * 20)" for k in _ORDER)} ELSE 50 END::INTEGER AS confidence,
+        concat_ws(',', {", ".join(f"CASE WHEN h_{k} THEN '{k}' END" for k in sorted(_ORDER))}) AS signals FROM pts)"""
+_SITE = "(SELECT page_id, platform, lower(p.url) AS u, lower(coalesce(canonical_url, '')) AS c, coalesce(len(list_filter(structured_data_types, lambda t: contains(lower(t), 'product'))), 0) > 0 AS typed FROM p JOIN platform USING (scan_id))"
+_NICHE = f"""SELECT page_id, 'SHOPIFY_COLLECTION_PRODUCT_DUPLICATE' AS code, 'high' AS severity FROM {_SITE} WHERE platform = 'shopify' AND contains(u, '/collections/') AND contains(u, '/products/') AND (c = '' OR contains(c, '/collections/') AND contains(c, '/products/'))
+        UNION ALL SELECT page_id, 'SHOPIFY_VARIANT_PARAM_BLOAT', 'medium' FROM {_SITE} WHERE platform = 'shopify' AND (contains(u, '?variant=') OR contains(u, '&variant='))
+        UNION ALL SELECT page_id, 'MISSING_PRODUCT_SCHEMA', 'high' FROM {_SITE} WHERE platform = 'shopify' AND (contains(u, '/products/') OR contains(u, '/product/')) AND NOT typed
+        UNION ALL SELECT page_id, 'WORDPRESS_ATTACHMENT_PAGE_BLOAT', 'medium' FROM {_SITE} WHERE platform IN ('wordpress', 'woocommerce') AND (contains(u, 'attachment_id=') OR contains(u, '/attachment/'))"""
+_NEAR = """s AS (SELECT sim.page_id, p.scan_id, p.url, page_ord, simhash FROM sim JOIN p USING (page_id) WHERE chars >= 50),
+near AS (SELECT a.scan_id, a.page_id AS id_a, b.page_id AS id_b, b.url AS url_b, a.page_ord AS ord_a, b.page_ord AS ord_b, hamming(a.simhash, b.simhash)::INTEGER AS distance FROM s a JOIN s b ON a.scan_id = b.scan_id AND (a.page_ord < b.page_ord OR a.page_ord = b.page_ord AND a.page_id < b.page_id) WHERE hamming(a.simhash, b.simhash) BETWEEN 1 AND 6)"""
+_TARGETS = f"targets AS (SELECT scan_id, {_normal('l.url')} AS u FROM links UNION SELECT scan_id, {_normal('root_url')} FROM sc)"
+_ORPHANS = f"SELECT p.scan_id, page_id, p.url, page_ord FROM p WHERE NOT EXISTS (SELECT 1 FROM targets WHERE targets.scan_id = p.scan_id AND targets.u = {_normal('p.url')})"
+_STEPS = """CASE family WHEN 'titles' THEN CASE WHEN platform IN ('shopify', 'wordpress', 'woocommerce') THEN 3 ELSE 2 END WHEN 'descriptions' THEN 2 WHEN 'product_urls' THEN 2 WHEN 'other' THEN 2 ELSE 3 END"""
+_PROBLEM = """CASE family WHEN 'links' THEN affected || ' links or pages lead to an error.' WHEN 'titles' THEN affected || ' pages have no title of their own.' WHEN 'descriptions' THEN affected || ' pages have no description.'
+        WHEN 'structured_data' THEN affected || ' pages have no structured data.' WHEN 'product_urls' THEN affected || ' products are reached below collections.' WHEN 'loading' THEN 'The main content of ' || affected || ' pages appears late.' ELSE affected || ' cases of: ' || coalesce(title, code) END"""
+
 SQL = {
     "page_issue_rows": _WITH(_P, _JUMPS) + f"SELECT page_id, code, category, severity FROM ({_RULES})",
     "heading_jumps": _WITH(_P, _JUMPS) + "SELECT page_id, jumped_from, jumped_to FROM jumps",
@@ -120,7 +138,7 @@ SQL = {
     "exact_duplicates": _WITH(_DOC) + f"SELECT md5({_NORM}) AS content_hash, count(*) AS n, min(doc_id) AS first_doc FROM d WHERE length(text) >= 50 GROUP BY 1 HAVING count(*) > 1",
     "duplicate_content": _WITH(_P) + f"SELECT page_id, 'EXACT_DUPLICATE_CONTENT' AS code FROM (SELECT page_id, count(*) OVER (PARTITION BY scan_id, md5({_NORM.replace('text', 'body_text')})) AS n FROM p WHERE length(body_text) >= 50) WHERE n > 1",
     "simhashes": _WITH(_DOC, _SIM) + "SELECT doc_id, simhash FROM sim",
-    "near_hash_pairs": _WITH(_DOC, _SIM, "h AS (SELECT DISTINCT simhash AS s FROM sim WHERE chars >= 50)") + "SELECT a.s AS hash_a, b.s AS hash_b, CAST(hamming(a.s, b.s) AS INTEGER) AS distance FROM h a JOIN h b ON a.s < b.s WHERE hamming(a.s, b.s) <= 6",
+    "near_hash_pairs": _WITH(_DOC, _SIM, "h AS (SELECT DISTINCT simhash AS s FROM sim WHERE chars >= 50)") + "SELECT a.s AS hash_a, b.s AS hash_b, CAST(hamming(a.s, b.s) AS INTEGER) AS distance FROM h a JOIN h b ON a.s < b.s WHERE hamming(a.s, b.s) <= 4",
     "shingle_counts": _WITH(_DOC, _SHINGLES) + f"SELECT doc_id, len(s) AS n_shingles, md5({_NORM}) AS content_hash FROM sh",
     "readability": _WITH(_DOC) + f"""SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN t = '' THEN 0 ELSE CAST(floor(greatest(0.0, least(100.0, 206.835 - 1.015 * (n / s) - 84.6 * (y / n))) + 0.5) AS INTEGER) END AS flesch FROM (
         SELECT doc_id, text, t, CAST(len(w) AS DOUBLE) AS n, greatest(1, len(list_filter(regexp_split_to_array(t, '[.!?]+'), lambda x: {_TRIM('x')} <> ''))) AS s,
@@ -163,13 +181,38 @@ SQL = {
     "nested_scans": _WITH(_SC, _P) + "SELECT scan_id, coalesce(n, 0) AS n_pages, first_page FROM sc LEFT JOIN (SELECT scan_id, count(*) AS n, arg_min(page_id, page_ord * 100000000000 + page_id) AS first_page FROM p GROUP BY scan_id) USING (scan_id)",
     "pages_with_metrics": _WITH(_SP) + "SELECT page_id, perf_score, tbt FROM sp JOIN (SELECT DISTINCT ON (page_id) * FROM page_metrics) USING (page_id) WHERE perf_score IS NOT NULL",
     "recommendations": _WITH(_IS, _RECS) + "SELECT scan_id, rank, code, phase, priority, effort, affected FROM rec3",
-    "weighted_mean": "SELECT l_returnflag AS flag, sum(l_linenumber)::BIGINT AS clicks, sum(l_quantity::INTEGER)::BIGINT AS impressions, floor(sum(floor(l_extendedprice)::BIGINT * l_quantity::INTEGER)::DOUBLE / sum(l_quantity::INTEGER) * 10 + 0.5)::BIGINT AS position_tenths FROM lineitem GROUP BY l_returnflag",
+    "recommendation_texts": _WITH(_IS, _SP, _P, _PTS, _RECS) + f"""SELECT rec3.scan_id, rank, code, coalesce(platform, 'custom') AS platform, {_PROBLEM} AS problem, {_STEPS} AS n_steps,
+        CASE family WHEN 'links' THEN 'apache' WHEN 'structured_data' THEN 'json' WHEN 'product_urls' THEN 'liquid' WHEN 'other' THEN NULL ELSE 'html' END AS language, coalesce(urls, '') AS sample_pages
+        FROM rec3 LEFT JOIN platform USING (scan_id) LEFT JOIN (SELECT scan_id, code, arg_min_null(title, issue_id) AS title FROM i GROUP BY scan_id, code) USING (scan_id, code)
+        LEFT JOIN (SELECT scan_id, code, string_agg(url, ' ' ORDER BY issue_id) AS urls FROM (SELECT i.scan_id, code, issue_id, url FROM i JOIN sp USING (page_id) WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY i.scan_id, code ORDER BY issue_id) <= 3) GROUP BY scan_id, code) USING (scan_id, code)""",
+    "weighted_mean": "SELECT l_returnflag AS flag, sum(l_linenumber)::BIGINT AS clicks, sum(l_quantity::INTEGER)::BIGINT AS impressions, floor(sum(l_linenumber) * 100.0::DOUBLE / sum(l_quantity::INTEGER) * 100 + 0.5)::BIGINT AS ctr_hundredths, floor(sum(floor(l_extendedprice)::BIGINT * l_quantity::INTEGER)::DOUBLE / sum(l_quantity::INTEGER) * 10 + 0.5)::BIGINT AS position_tenths FROM lineitem GROUP BY l_returnflag",
     "normal_urls": _WITH(_SP) + f"SELECT scan_id, {_normal('url')} AS normal_url, count(*) AS n, count(DISTINCT url) AS spellings FROM sp GROUP BY ALL",
     "orphan_pages": _WITH(_P, _SC, _LINKS, f"t AS (SELECT scan_id, {_normal('l.url')} AS u FROM links UNION SELECT scan_id, {_normal('root_url')} FROM sc)") + f"SELECT p.scan_id, page_id, url FROM p WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.scan_id = p.scan_id AND t.u = {_normal('p.url')})",
-    "platforms": _WITH(_P, f"""pts AS (SELECT scan_id, {_POINTS} FROM (SELECT scan_id, lower(coalesce(url, '')) AS u, coalesce(body_text, '') || ' ' || coalesce(headers::VARCHAR, '') || ' ' || coalesce(images::VARCHAR, '') || ' ' || coalesce(internal_links::VARCHAR, '') AS raw
-        FROM p QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY page_ord, page_id) <= 10) GROUP BY scan_id)""") + "SELECT scan_id, CASE " + " ".join(f"WHEN {k} >= 4 THEN '{k}'" for k in _ORDER) + " ELSE 'custom' END AS platform, CASE " + " ".join(f"WHEN {k} >= 4 THEN least(100, {k} * 20)" for k in _ORDER) + " ELSE 50 END::INTEGER AS confidence FROM pts",
+    "platforms": _WITH(_P, _PTS) + "SELECT * FROM platform",
+    "platform_rules": _WITH(_P, _PTS) + f"SELECT page_id, code FROM ({_NICHE})",
+    "near_duplicate_rule": _WITH(_P, _PSIM, _NEAR) + "SELECT scan_id, id_a AS page_id, 'NEAR_DUPLICATE_CONTENT' AS code, url_b FROM near WHERE distance <= 3 QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY ord_a, ord_b) <= 10",
+    "found_issue_counts": _WITH(_P, _JUMPS, _LINKS, _STATUS, _SC, _SP, _PTS, _PSIM, _NEAR, _TARGETS, "m AS (SELECT DISTINCT ON (metric_id) * FROM page_metrics)") + f"""SELECT code, severity, count(*) AS n FROM (SELECT code, severity FROM ({_RULES})
+        UNION ALL SELECT 'DUPLICATE_TITLE', 'high' FROM {_DUP('title', 0)} WHERE n > 1 UNION ALL SELECT 'DUPLICATE_META_DESCRIPTION', 'medium' FROM {_DUP('meta_description', 10)} WHERE n > 1
+        UNION ALL SELECT 'BROKEN_INTERNAL_LINK', 'critical' FROM ({_BROKEN}) UNION ALL SELECT 'REDIRECT_CHAIN', 'medium' FROM ({_REDIR}) UNION ALL SELECT 'BROKEN_EXTERNAL_LINK', 'medium' FROM ({_EXT})
+        UNION ALL SELECT 'EXACT_DUPLICATE_CONTENT', 'medium' FROM (SELECT count(*) OVER (PARTITION BY scan_id, md5({_NORM.replace('text', 'body_text')})) AS n FROM p WHERE length(body_text) >= 50) WHERE n > 1
+        UNION ALL SELECT 'NEAR_DUPLICATE_CONTENT', 'medium' FROM (SELECT 1 FROM near WHERE distance <= 3 QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY ord_a, ord_b) <= 10)
+        UNION ALL SELECT 'ORPHAN_PAGE', 'low' FROM (SELECT 1 FROM ({_ORPHANS}) QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY page_ord, url) <= 10)
+        UNION ALL SELECT code, severity FROM ({_NICHE})
+        UNION ALL SELECT 'POOR_LCP', 'high' FROM m WHERE lcp > 4.0 UNION ALL SELECT 'NEEDS_WORK_LCP', 'medium' FROM m WHERE lcp > 2.5 AND lcp <= 4.0 UNION ALL SELECT 'POOR_CLS', 'high' FROM m WHERE cls > 0.25 UNION ALL SELECT 'POOR_TBT', 'high' FROM m WHERE tbt > 600) GROUP BY code, severity""",
+    "issue_group_urls": _WITH(_IS, _SP) + "SELECT i.scan_id, code, min(issue_id) AS first_id, url AS page_url FROM i JOIN sp USING (page_id) WHERE url IS NOT NULL GROUP BY i.scan_id, code, url",
+    "shared_title_urls": _WITH(_P) + f"SELECT scan_id, title, row_number() OVER (PARTITION BY scan_id, title ORDER BY page_ord NULLS FIRST, page_id) - 1 AS ord, page_id, url FROM (SELECT scan_id, lower({_T}) AS title, page_ord, page_id, url, count(*) OVER (PARTITION BY scan_id, lower({_T})) AS n FROM p WHERE length({_T}) > 0) WHERE n > 1",
+    "scan_pages": _WITH(_SP) + "SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY page_ord NULLS FIRST, page_id) - 1 AS ord, page_id FROM sp",
+    "page_total": _WITH(_SP) + "SELECT count(*) AS total, ceil(count(*) / 50.0)::BIGINT AS pages FROM sp WHERE (contains(lower(url), 'garden') OR contains(lower(title), 'garden')) AND status_code = 200",
+    "opportunity_rows": _WITH(_P) + """SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY kind) - 1)::INTEGER AS ord, kind, savings_ms FROM (
+        SELECT page_id, 'images' AS kind, n * 60::BIGINT AS savings_ms FROM (SELECT page_id, coalesce(len(images), 0) AS n FROM p) WHERE n > 5
+        UNION ALL SELECT page_id, 'server', (lcp - 250) * 10 FROM (SELECT page_id, CAST(floor(least(6.0::DOUBLE, 0.9::DOUBLE + rt * 1.8::DOUBLE + CASE WHEN n > 10 THEN 1.0::DOUBLE ELSE n * 0.05::DOUBLE END) * 100 + 0.5::DOUBLE) AS BIGINT) AS lcp
+          FROM (SELECT page_id, coalesce(response_time_ms, 500) / 1000.0::DOUBLE AS rt, coalesce(len(images), 0) AS n FROM p)) WHERE lcp > 250)""",
     "near_duplicate_pages": _WITH(_P, _PSIM, "s AS (SELECT sim.page_id, p.scan_id, page_ord, simhash FROM sim JOIN p USING (page_id) WHERE chars >= 50)")
     + "SELECT a.scan_id, a.page_id AS id_a, b.page_id AS id_b, hamming(a.simhash, b.simhash)::INTEGER AS distance, floor((64 - hamming(a.simhash, b.simhash)) / 64.0 * 100 + 0.5)::INTEGER AS similarity FROM s a JOIN s b ON a.scan_id = b.scan_id AND (a.page_ord < b.page_ord OR a.page_ord = b.page_ord AND a.page_id < b.page_id) WHERE hamming(a.simhash, b.simhash) BETWEEN 1 AND 6",
     "action_plan": _WITH(_IS, _RECS) + f"SELECT * FROM (SELECT scan_id, phase, {_ADVICE} AS advice, min(rank) AS rank FROM rec3 GROUP BY scan_id, phase, advice) QUALIFY row_number() OVER (PARTITION BY scan_id, phase ORDER BY rank) <= 6",
     "opportunities": "SELECT DISTINCT ON (metric_id) metric_id, coalesce(json_array_length(opportunities), 0)::INTEGER AS n_opportunities FROM page_metrics",
 }
+
+SQL["executive_summaries"] = _WITH(_SC, _IS, _P, _PTS, f"sco AS ({SQL['scan_scores']})", "grp AS (SELECT scan_id, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'high') AS h FROM (SELECT scan_id, code, arg_min(severity, issue_id) AS severity FROM i GROUP BY scan_id, code) GROUP BY scan_id)") + """SELECT scan_id,
+    coalesce(nullif(lower(regexp_extract(trim(root_url), '(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1)), ''), 'website') || ': Score ' || overall || ' of 100, grade ' || grade || '; ' || coalesce(c, 0) || ' critical and ' || coalesce(h, 0) || ' high kinds of issue. Platform: ' || coalesce(platform, 'custom') || '.' AS summary
+    FROM sco LEFT JOIN grp USING (scan_id) LEFT JOIN sc USING (scan_id) LEFT JOIN platform USING (scan_id)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.plans import audit_queries, audit_sql, nested_queries
+from sitelens.plans import audit_queries, audit_sql, fixture_queries, nested_queries
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,8 +15,8 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return audit_queries.QUERIES | nested_queries.QUERIES
+    return audit_queries.QUERIES | nested_queries.QUERIES | fixture_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(audit_sql.SQL)
+    return audit_sql.SQL | fixture_queries.sql()

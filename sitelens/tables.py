@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,24 @@ def first_listed(df: DataFrame, by: list[str], order: list[str], value: str, nam
     first = df.withColumn("__rank", F.row_number().over(rank)).where(F.col("__rank") <= most)
     pairs = F.array_sort(F.collect_list(F.struct(F.col("__rank").alias("r"), F.col(value).alias("v"))))
     return first.groupBy(*by).agg(F.transform(pairs, lambda x: x["v"]).alias(name))
+
+
+#: Rows of a group that are numbered in one task.
+CHUNK = 100_000
+
+
+def numbered(df: DataFrame, by: list[str], order: str, tie: str | Column, name: str = "ord") -> DataFrame:
+    """``df`` with the position of each row in its group of ``by``, from 0, in the order of ``order`` (a whole number) and ``tie``.
+
+    A group is cut into ranges of ``order``: the ranges are counted first and
+    their sums carried on, so no task numbers a whole group. Rows of null ``order`` come first. A range
+    holds all rows of one ``order``.
+    """
+    at = F.floor(F.coalesce(F.col(order), F.lit(-1)) / CHUNK)
+    cut = df.withColumn("__chunk", at)
+    sizes = cut.groupBy(*by, "__chunk").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy(*by).orderBy("__chunk")) - F.col("__n")).drop("__n")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "__chunk"]]
+    both = cut.alias("l").join(before.alias("r"), same).select("l.*", "r.__before")
+    inside = F.row_number().over(Window.partitionBy(*by, "__chunk").orderBy(F.col(order).asc_nulls_first(), tie)) - 1
+    return both.withColumn(name, (F.col("__before") + inside).cast("bigint")).drop("__before", "__chunk")

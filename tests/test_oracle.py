@@ -44,9 +44,15 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got) == rows(expected)
 
 
+#: Queries that SQL can not express, and the test that compares each with brute force.
+ELSEWHERE = {"crawl_levels": "test_sources.py", "p1_found": "test_nested.py", "p1_recommendations": "test_nested.py", "p1_hops": "test_nested.py", "p1_plans": "test_nested.py"}
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
-def test_query_runs(spark, name):
-    assert catalogue.queries()[name](spark, FOLDER).count() >= 0
+def test_query_without_sql_gives_rows(spark, name):
+    assert name in ELSEWHERE
+    rows = catalogue.queries()[name](spark, FOLDER)
+    assert rows.count() > 0 and rows.dropDuplicates().count() == rows.count()
 
 
 def test_entry_point(spark):

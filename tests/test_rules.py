@@ -167,3 +167,30 @@ def test_every_issue_has_those_of_texts_orphans_platforms_and_vitals(spark, make
     vitals = spark.createDataFrame([("s", 1, u + "/", 5.0, 0.3, 700), ("s", 2, u + "/products/a", 3.0, 0.0, 0)], "scan_id string, page_id bigint, url string, lcp double, cls double, tbt int")
     got, narrow = Counter(r.code for r in every_issue(p, roots, vitals).collect()), Counter(r.code for r in page_and_link_issues(p).collect())
     assert got - narrow == {"EXACT_DUPLICATE_CONTENT": 2, "ORPHAN_PAGE": 1, "SHOPIFY_VARIANT_PARAM_BLOAT": 1, "MISSING_PRODUCT_SCHEMA": 1, "POOR_LCP": 1, "NEEDS_WORK_LCP": 1, "POOR_CLS": 1, "POOR_TBT": 1}
+
+
+def test_messages_name_what_was_found(make_pages):
+    p = make_pages({"title": "Short", "word_count": 12, "headings": [(1, "a"), (4, "b")]})
+    said = {r.code: r.message for r in page_issues(p).collect()}
+    assert said["TITLE_TOO_SHORT"].startswith("The title has 5 characters") and "12 words" in said["THIN_CONTENT"] and said["BROKEN_HEADING_HIERARCHY"] == "A heading of level 4 follows one of level 1."
+    every = page_issues(make_pages({k: None for k in ("url", "title", "h1_list", "canonical_url", "meta_description")})).collect()
+    assert every and all(r.message for r in every)
+
+
+def test_all_members_of_a_group_as_rows(spark, make_pages):
+    p = make_pages(*({"title": "One title for all of these pages", "url": f"https://e.com/{k}", "page_ord": 250_000 - k * 70_000 if k else None} for k in range(4)))
+    found = site_rules.duplicate_field(p, "title")
+    rows = site_rules.group_rows(found, ["scan_id", "norm"]).orderBy("ord").collect()
+    assert [(r.ord, r.url[-1]) for r in rows] == [(0, "0"), (1, "3"), (2, "2"), (3, "1")]
+
+
+def test_first_pairs_of_large_groups_of_copies(spark, make_pages):
+    """Two hashes of many copies each: the first pairs equal those of all pairs."""
+    from sitelens.operators.duplicates import near_pairs
+
+    text = " ".join(f"stone{i} river{i * 7} cloud{i * 3}" for i in range(60))
+    p = make_pages(*({"body_text": text + (" brook1" if k % 3 else ""), "url": f"https://e.com/{k}"} for k in range(30)))
+    every = sorted((r.ord_a, r.ord_b) for r in near_pairs(p, ["scan_id"]).collect())
+    assert len(every) == 200
+    found = [(json.loads(r.detail)["urlA"], json.loads(r.detail)["urlB"]) for r in site_rules.near_duplicate_content(p).collect()]
+    assert sorted(found) == sorted((f"https://e.com/{a}", f"https://e.com/{b}") for a, b in every[:10])

@@ -92,6 +92,76 @@ def test_crawl_meets_pages_in_order_within_its_budget(spark):
     assert row.status_code == 403 and row.security_headers is None
 
 
+def fifo_crawl(seeds, links, most_depth, most):
+    """The crawl as one queue: what the level-by-level plan must equal."""
+    queue, seen, met = [], set(), []
+    for url, depth in seeds:
+        if url not in seen:
+            seen.add(url)
+            queue.append((url, depth))
+    while queue and len(met) < most:
+        queue.sort(key=lambda x: x[1])  # seeds of the next level wait for their level
+        url, depth = queue.pop(0)
+        met.append((url, depth))
+        if depth < most_depth and len(met) + len(queue) < 2 * most:
+            for target in links.get(url, []):
+                if target not in seen:
+                    seen.add(target)
+                    queue.append((target, depth + 1))
+    return met
+
+
+def test_crawl_equals_a_queue_on_random_sites(spark):
+    import random
+
+    rng = random.Random(5)
+    sites, seeds, edges, bounds = {}, [], [], []
+    for s in range(8):
+        urls = [f"https://s{s}.example/p{k}" for k in range(60)]
+        links = {u: [rng.choice(urls) for _ in range(rng.randint(0, 9))] for u in urls}
+        own = [(urls[0], 0), (urls[7], 1)]
+        sites[f"s{s}"] = (own, links, rng.randint(1, 5), rng.choice([4, 9, 30]))
+        seeds += [(f"s{s}", u, d, k) for k, (u, d) in enumerate(own)]
+        edges += [(f"s{s}", u, n, t) for u, ts in links.items() for n, t in enumerate(ts)]
+        bounds.append((f"s{s}", sites[f"s{s}"][2], sites[f"s{s}"][3]))
+    b = spark.createDataFrame(bounds, "scan_id string, max_depth int, max_pages int")
+    got = crawl_order(spark.createDataFrame(seeds, "scan_id string, url string, depth int, seed_ord bigint"), spark.createDataFrame(edges, "scan_id string, from_url string, link_ord int, target_url string"), bounds=b).collect()
+    for name, (own, links, deep, most) in sites.items():
+        rows = sorted((r.ord, r.url, r.depth) for r in got if r.scan_id == name)
+        assert [(u, d) for _, u, d in rows] == fifo_crawl(own, links, deep, most), name
+
+
+def test_records_of_pages_that_could_not_be_read(spark):
+    from sitelens.operators.crawl import failed_pages
+
+    urls = spark.createDataFrame([("s", "https://e.com/x", 2)], "scan_id string, url string, depth int")
+    row = failed_pages(urls).first()
+    assert (row.status_code, row.body_text, row.h1_list, row.security_headers, row.depth) == (500, "", [], None, 2)
+    assert blocked_pages(urls).first().robots_directives == "Disallowed in robots.txt"
+
+
+def test_states_of_a_scan(spark):
+    notes = []
+    done = []
+    assert sinks.run_states(spark, "s", {"crawling": lambda: done.append(1)}, notes.append) == "complete" and done == [1]
+    all_notes = notes[0]
+    for n in notes[1:]:
+        all_notes = all_notes.unionByName(n)
+    assert sinks.latest_status(all_notes).first().status == "complete" and all_notes.count() == 6
+    notes.clear()
+    assert sinks.run_states(spark, "s", {"scoring": lambda: 1 / 0}, notes.append) == "failed"
+    assert [n.first().status for n in notes] == ["queued", "crawling", "analyzing", "scoring", "failed"] and "division" in notes[-1].first().error_text
+    assert not sinks.follows("complete", "failed") and not sinks.follows("queued", "scoring") and sinks.follows(None, "queued")
+
+
+def test_report_sections_are_ordered_and_counted(spark):
+    issues = spark.createDataFrame([("low", f"t{i:02}", "u") for i in range(50)] + [("critical", "worst", "u"), (None, None, None)], "severity string, title string, url string").repartition(5)
+    recs = spark.createDataFrame([(1, "p <1>", ["do this"], "better")], "rank int, problem string, how_to_fix array<string>, estimated_result string")
+    html = sinks.report("T", 50, "C", None, issues, 5, {"technical": 40}, recs, summary="In short")
+    assert "low: 50" in html and html.index("worst") < html.index("t00") and "t05" not in html and "p &lt;1&gt;" in html and "do this" in html and "In short" in html
+    assert html == sinks.report("T", 50, "C", None, issues.repartition(2), 5, {"technical": 40}, recs, summary="In short")
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("s", "high", "<b>", "https://e.com/?a=<script>", ["x"])], "scan_id string, severity string, title string, url string, l array<string>")
     sinks.append(df, str(tmp_path / "t"))
