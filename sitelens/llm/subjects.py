@@ -6,15 +6,18 @@ sentences so given, of the labelled documents and of a bounded sample of
 the others. A document's features are the share of its sentences that each
 subject gets (its term features), its source and its structure. A chain of
 logistic classifiers, one for each subject, reads these and the labels before
-it in the chain, so subjects that occur together are modelled; each is
-calibrated on documents it was not trained on. Beam search finds the likeliest
-combination of at most ``MOST`` subjects.
+it in the chain, so subjects that occur together are modelled. The chain and its
+calibration are fitted on features that come from term weights of other labelled documents,
+so nothing is scored by weights that have seen its labels. Beam search finds the likeliest
+combination of at most ``MOST`` subjects, for all documents of a batch at once.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +36,31 @@ TRAIN_CHARS = 20_000
 BUCKETS = 1 << 16
 BEAM = 6
 MOST = 2
+#: The labelled documents are cut into this many parts; each is scored by weights, and calibrated by a chain, of the others.
+FOLDS = 8
 #: Share of a document's sentences from which a subject counts.
 LEAST_SHARE = 1 / 6
 #: Least lead of a sentence's subject, in nats, over having none.
 LEAD = 2.5
-#: Sources with a feature of their own.
-SOURCES = ["audit_report", "blog", "product_page", "help_center", "forum", "press", "guide", "glossary"]
+#: Most sources with a feature of their own: the most frequent of the labelled documents.
+MOST_SOURCES = 16
 LANGUAGES = ["", "en", "de", "es", "fr"]
 _WORD = re.compile(r"[^\W\d_]{3,}(?:-[^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _MISREAD = re.compile("[Â-Å][\u0080-¿‐-›ŒœŠšŸŽžƒˆ˜€™]")
-_CACHE: dict[str, int] = {}
+
+
+class _Buckets(dict):
+    """The hash bucket of each word met; cleared when it is full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = self[word] = xxhash.xxh32_intdigest(word) % BUCKETS
+        return h
+
+
+_BUCKET = _Buckets()
 
 
 def repaired(text: str) -> str:
@@ -60,96 +77,115 @@ def repaired(text: str) -> str:
     return _MISREAD.sub(right, text)
 
 
-def sentences(text: str) -> list[np.ndarray]:
-    """Term buckets (each once) of every sentence."""
-    out = []
-    for sentence in _SENTENCE.split(repaired(text)):
-        ids = set()
-        for w in _WORD.findall(sentence.lower()):
-            h = _CACHE.get(w)
-            if h is None:
-                if len(_CACHE) > 300_000:
-                    _CACHE.clear()
-                h = _CACHE[w] = xxhash.xxh32_intdigest(w) % BUCKETS
-            ids.add(h)
-        if ids:
-            out.append(np.fromiter(ids, np.int64, len(ids)))
-    return out
+@dataclass
+class Flat:
+    """The sentences of several texts in one row: the term buckets (each once a sentence), how many each sentence has, how many sentences each text."""
+
+    terms: np.ndarray
+    size: np.ndarray
+    count: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.size) - self.size
+
+    @property
+    def text(self) -> np.ndarray:
+        """The text that each sentence is of."""
+        return np.repeat(np.arange(len(self.count)), self.count)
+
+    def of(self, texts: np.ndarray) -> Flat:
+        """The sentences of the chosen texts."""
+        kept = np.isin(self.text, texts)
+        return Flat(self.terms[np.repeat(kept, self.size)], self.size[kept], self.count[texts])
+
 
+def flat(texts: Sequence[str]) -> Flat:
+    terms: list[int] = []
+    size, count = [], []
+    for text in texts:
+        n = 0
+        for sentence in _SENTENCE.split(repaired(text).lower()):
+            ids = set(map(_BUCKET.__getitem__, _WORD.findall(sentence)))
+            if ids:
+                terms.extend(ids)
+                size.append(len(ids))
+                n += 1
+        count.append(n)
+    return Flat(np.array(terms, np.int64), np.array(size, np.int64), np.array(count, np.int64))
 
-def structure(text: str, parts: Sequence[np.ndarray], source: str | None) -> np.ndarray:
-    """Source and structure features."""
-    lines = text.count("\n") + 1
-    return np.array([*(float(source == s) for s in SOURCES), np.log1p(len(parts)) / 3, np.log1p(len(text)) / 8, min(lines, 20) / 20, float(":" in text[:40])])
+
+def structure(texts: Sequence[str], counts: np.ndarray, sources: Sequence[str | None], known: Sequence[str]) -> np.ndarray:
+    """Source and structure features of each text."""
+    lines = np.array([t.count("\n") + 1 for t in texts], float)
+    length = np.array([len(t) for t in texts], float)
+    headed = np.array([":" in t[:40] for t in texts], float)
+    by = np.array([[s == k for k in known] for s in sources], float).reshape(len(texts), len(known))
+    return np.hstack([by, np.stack([np.log1p(counts) / 3, np.log1p(length) / 8, np.minimum(lines, 20) / 20, headed], axis=1).reshape(len(texts), 4)])
 
 
 class TermWeights:
     """Log odds of each term bucket for each subject."""
 
     def __init__(self, k: int):
-        self.w = np.zeros((k, BUCKETS), np.float32)
+        self.w = np.zeros((BUCKETS, k), np.float32)
 
     def set(self, counts: np.ndarray, mass: np.ndarray, overall: np.ndarray, total: np.ndarray) -> TermWeights:
-        """From (languages, subjects, terms) counts, their sums, and the same of all sentences.
+        """From (subjects, terms) counts, (languages, subjects) sums, and (languages, terms) and languages of all sentences.
 
         A term's odds of a subject are held against the odds of its languages, so
         that the common words of a language speak for no subject.
         """
         seen = overall.sum(0)
-        own = counts.sum(0)
         base = (mass + 0.5) / (np.maximum(total[:, None] - mass, 0) + 6.0)
         prior = (base.T @ overall) / np.maximum(seen, 1)
-        rest = np.maximum(seen - own, 0)
-        self.w = (np.log((own + 0.3) / (rest + 0.3)) - np.log(np.maximum(prior, 1e-6) * (seen + 0.3) / (seen + 0.3))).astype(np.float32)
-        self.w[:, seen < 3] = 0
-        np.clip(self.w, -1.0, 5.0, out=self.w)
-        self.w[np.abs(self.w) < 0.9] = 0
+        rest = np.maximum(seen - counts, 0)
+        w = (np.log((counts + 0.3) / (rest + 0.3)) - np.log(np.maximum(prior, 1e-6))).astype(np.float32)
+        w[:, seen < 3] = 0
+        np.clip(w, -1.0, 5.0, out=w)
+        w[np.abs(w) < 0.9] = 0
+        self.w = np.ascontiguousarray(w.T)
         return self
 
-    def given(self, parts: Sequence[np.ndarray], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Each sentence's best subject (-1 for none), of those marked in ``among`` if given, and its lead."""
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(0)
-        starts = np.concatenate([[0], np.cumsum([len(p) for p in parts[:-1]])]).astype(np.int64)
-        score = np.add.reduceat(self.w[:, np.concatenate(parts)], starts, axis=1)
+    def given(self, texts: Flat, among: np.ndarray | None = None) -> np.ndarray:
+        """Each sentence's best subject, -1 where none leads; of those marked for its text in ``among`` (texts, subjects) if given."""
+        if not len(texts.size):
+            return np.zeros(0, np.int64)
+        score = np.add.reduceat(self.w[texts.terms], texts.starts, axis=0)
         if among is not None:
-            score = np.where(among[:, None] > 0, score, -np.inf)
-        best = score.argmax(axis=0)
-        lead = score.max(axis=0)
-        return np.where(lead >= LEAD, best, -1), lead
+            score = np.where(among[texts.text] > 0, score, -np.inf)
+        return np.where(score.max(axis=1) >= LEAD, score.argmax(axis=1), -1)
 
-    def shares(self, parts: Sequence[np.ndarray]) -> np.ndarray:
-        """The share of sentences each subject gets."""
-        best, _ = self.given(parts)
-        k = len(self.w)
-        return np.bincount(best[best >= 0], minlength=k)[:k] / max(1, len(parts))
+    def shares(self, texts: Flat) -> np.ndarray:
+        """(texts, subjects): the share of sentences each subject gets."""
+        k, best = self.w.shape[1], self.given(texts)
+        got = np.bincount(texts.text[best >= 0] * k + best[best >= 0], minlength=len(texts.count) * k).reshape(-1, k)
+        return got / np.maximum(1, texts.count)[:, None]
 
 
-def fit_terms(docs: Sequence[Sequence[np.ndarray]], langs: Sequence[int], labels: np.ndarray, others: Sequence[Sequence[np.ndarray]], other_langs: Sequence[int], rounds: int = 4) -> TermWeights:
+def fit_terms(docs: Flat, langs: np.ndarray, labels: np.ndarray, others: Flat, other_langs: np.ndarray, rounds: int = 4) -> TermWeights:
     """First by the documents' labels, then by the sentences given: of these documents to one of their labels, of the others to any subject."""
-    k = labels.shape[1]
-    shape = (len(LANGUAGES), k, BUCKETS)
-    counts, overall, mass, total = np.zeros(shape, np.float32), np.zeros((len(LANGUAGES), BUCKETS)), np.zeros(shape[:2]), np.zeros(len(LANGUAGES))
-    for parts, lang, y in zip(docs, langs, labels):
-        each = max(1, y.sum())
-        for p in parts:
-            overall[lang, p] += 1
-            for s in np.flatnonzero(y):
-                counts[lang, s, p] += 1 / each
-        total[lang] += len(parts)
-        mass[lang] += y / each * len(parts)
-    weights = TermWeights(k).set(counts, mass, overall, total)
+    k, n = labels.shape[1], len(docs.count)
+
+    def weighed(texts: Flat, lang: np.ndarray, part: np.ndarray) -> tuple:
+        """Counts where each sentence has ``part`` (sentences, subjects) of itself in each subject."""
+        at = np.repeat(np.arange(len(texts.size)), texts.size)
+        spoken = lang[texts.text]
+        counts = np.stack([np.bincount(texts.terms, weights=part[at, s], minlength=BUCKETS) for s in range(k)])
+        overall = np.bincount(spoken[at] * BUCKETS + texts.terms, minlength=len(LANGUAGES) * BUCKETS).reshape(len(LANGUAGES), BUCKETS).astype(float)
+        mass = np.stack([np.bincount(spoken, weights=part[:, s], minlength=len(LANGUAGES)) for s in range(k)], axis=1)
+        return counts, mass, overall, np.bincount(spoken, minlength=len(LANGUAGES)).astype(float)
+
+    weights = TermWeights(k)
+    if not n:
+        return weights
+    weights.set(*weighed(docs, langs, (labels / np.maximum(1, labels.sum(1, keepdims=True)))[docs.text]))
+    both = Flat(np.concatenate([docs.terms, others.terms]), np.concatenate([docs.size, others.size]), np.concatenate([docs.count, others.count]))
+    lang = np.concatenate([langs, other_langs])
     for _ in range(rounds):
-        counts, overall, mass, total = np.zeros(shape, np.float32), np.zeros((len(LANGUAGES), BUCKETS)), np.zeros(shape[:2]), np.zeros(len(LANGUAGES))
-        for parts, lang, y in [*zip(docs, langs, labels), *((p, n, None) for p, n in zip(others, other_langs))]:
-            best, _ = weights.given(parts, y)
-            total[lang] += len(parts)
-            for p, s in zip(parts, best):
-                overall[lang, p] += 1
-                if s >= 0:
-                    counts[lang, s, p] += 1
-                    mass[lang, s] += 1
-        weights = TermWeights(k).set(counts, mass, overall, total)
+        best = np.concatenate([weights.given(docs, labels), weights.given(others)])
+        part = (best[:, None] == np.arange(k)).astype(np.float32)
+        weights = TermWeights(k).set(*weighed(both, lang, part))
     return weights
 
 
@@ -175,30 +211,38 @@ def _expected(n: int) -> np.ndarray:
     return center
 
 
+#: What the source and structure features, and the labels before in the chain, are multiplied with: their ridge is that much weaker.
+STRUCTURE_SCALE, CHAIN_SCALE = 0.1, 0.3
+
+
 class SubjectModel:
-    """Term weights, the chain, and a calibration for each of its links."""
+    """Term weights, the chain, and a calibration for each of its links. ``chained=False`` leaves the labels before out, to see what they add."""
 
-    def __init__(self, subjects: Sequence[str], texts: Sequence[str], sources: Sequence[str | None], labels: np.ndarray, others: Sequence[str] = (), seed: int = 9):
-        self.subjects = list(subjects)
+    def __init__(self, subjects: Sequence[str], texts: Sequence[str], sources: Sequence[str | None], labels: np.ndarray, others: Sequence[str] = (), seed: int = 9, chained: bool = True):
+        self.subjects, self.chained = list(subjects), chained
+        k, n = len(self.subjects), len(texts)
         rng = np.random.default_rng(seed)
-        parts = [sentences(t) for t in texts]
-        rest = [sentences(t) for t in others]
-        langs, rest_langs = [LANGUAGES.index(language(t)) for t in texts], [LANGUAGES.index(language(t)) for t in others]
-        fold = rng.permutation(len(texts)) % 2 if len(texts) else np.zeros(0, int)
-        labels = labels.astype(float)
-        self.terms = fit_terms(parts, langs, labels, rest, rest_langs)
-        shares = np.array([self.terms.shares(p) for p in parts]).reshape(len(texts), len(self.subjects))
-        shape = np.array([structure(t, p, s) for t, p, s in zip(texts, parts, sources)]).reshape(len(texts), len(SOURCES) + 4)
+        docs, rest = flat(texts), flat(others)
+        langs, rest_langs = (np.array([LANGUAGES.index(language(t)) for t in part], np.int64) for part in (texts, others))
+        fold = rng.permutation(n) % FOLDS
+        labels = labels.astype(float).reshape(n, k)
+        self.sources = [s for s, _ in Counter(s for s in sources if s).most_common(MOST_SOURCES)]
+        self.terms = fit_terms(docs, langs, labels, rest, rest_langs)
+        shares = np.zeros((n, k))
+        for f in np.unique(fold):
+            seen, held = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+            shares[held] = fit_terms(docs.of(seen), langs[seen], labels[seen], rest, rest_langs).shares(docs.of(held))
+        shape = structure(texts, docs.count, sources, self.sources)
         self.order = np.argsort(-labels.sum(0), kind="stable")
         self.chain, self.calibration = [], []
         for at, s in enumerate(self.order):
-            x = self._features(shares, shape, labels[:, self.order[:at]], s)
-            if not len(x):
+            if not n:
                 self.chain.append(None)
                 self.calibration.append((1.0, 0.0))
                 continue
-            score = np.zeros(len(x))
-            for f in (0, 1):
+            x = np.hstack([self._features(shares, shape, s), labels[:, self.order[:at]] * CHAIN_SCALE * chained])
+            score = np.zeros(n)
+            for f in np.unique(fold):
                 w = _logistic(x[fold != f], labels[fold != f, s], _expected(x.shape[1]))
                 score[fold == f] = np.hstack([x[fold == f], np.ones(((fold == f).sum(), 1))]) @ w
             self.chain.append(_logistic(x, labels[:, s], _expected(x.shape[1])))
@@ -206,34 +250,46 @@ class SubjectModel:
             self.calibration.append((max(0.2, slope), shift))
 
     @staticmethod
-    def _features(shares: np.ndarray, shape: np.ndarray, before: np.ndarray, s: int) -> np.ndarray:
+    def _features(shares: np.ndarray, shape: np.ndarray, s: int) -> np.ndarray:
         own = shares[:, [s]]
-        other = np.delete(shares, s, axis=1).max(axis=1, keepdims=True)
+        other = np.delete(shares, s, axis=1).max(axis=1, keepdims=True) if shares.shape[1] > 1 else np.zeros_like(own)
         step = 1 / (1 + np.exp(-(own - LEAST_SHARE) * 50))
-        return np.hstack([step * 5, np.minimum(own, 0.3) * 10, other, shares.sum(axis=1, keepdims=True), shape * 0.1, before * 0.3])
+        return np.hstack([step * 5, np.minimum(own, 0.3) * 10, other, shares.sum(axis=1, keepdims=True), shape * STRUCTURE_SCALE])
 
-    def decode(self, text: str, source: str | None) -> tuple[list[str], np.ndarray]:
-        """The subjects of the likeliest combination, and the share of sentences of each subject."""
-        parts = sentences(text)
-        shares = self.terms.shares(parts)
-        if not shares.any():
-            return [], shares
-        shape = structure(text, parts, source)[None]
-        beams = [(0.0, ())]
+    def decode_all(self, texts: Sequence[str], sources: Sequence[str | None]) -> tuple[list[list[str]], np.ndarray]:
+        """For each text the subjects of the likeliest combination, and (texts, subjects) the shares of sentences.
+
+        All beams of all texts are grown together, one link of the chain after the other.
+        """
+        docs = flat(texts)
+        shares = self.terms.shares(docs)
+        n, k = shares.shape
+        if not n or not k or self.chain[0] is None:
+            return [[] for _ in texts], shares
+        shape = structure(texts, docs.count, sources, self.sources)
+        log = np.full((n, BEAM), -np.inf)
+        log[:, 0] = 0.0
+        taken = np.zeros((n, BEAM, k), bool)
         for at, s in enumerate(self.order):
             w, (slope, shift) = self.chain[at], self.calibration[at]
-            if w is None:
-                continue
-            grown = []
-            before = np.array([[float(t in taken) for t in self.order[:at]] for _, taken in beams]).reshape(len(beams), at)
-            x = self._features(np.repeat(shares[None], len(beams), 0), np.repeat(shape, len(beams), 0), before, s)
-            z = slope * (np.hstack([x, np.ones((len(x), 1))]) @ w) + shift
-            for (log, taken), v in zip(beams, z):
-                grown.append((log - np.logaddexp(0, v), taken))
-                if len(taken) < MOST and shares[s] > 0:
-                    grown.append((log - np.logaddexp(0, -v), (*taken, s)))
-            beams = sorted(grown, key=lambda b: -b[0])[:BEAM]
-        return [self.subjects[s] for s in sorted(beams[0][1])], shares
+            x = self._features(shares, shape, s)
+            width = x.shape[1]
+            z = x @ w[:width] + w[-1]
+            z = z[:, None] + taken[:, :, self.order[:at]] @ (w[width:-1] * CHAIN_SCALE * self.chained)
+            z = slope * z + shift
+            without, with_ = log - np.logaddexp(0, z), log - np.logaddexp(0, -z)
+            with_[(taken.sum(axis=2) >= MOST) | (shares[:, s] <= 0)[:, None]] = -np.inf
+            both = np.concatenate([without, with_], axis=1)
+            best = np.argsort(-both, axis=1, kind="stable")[:, :BEAM]
+            log = np.take_along_axis(both, best, axis=1)
+            taken = np.take_along_axis(taken, (best % BEAM)[:, :, None], axis=1)
+            taken[:, :, s] = best >= BEAM
+        first = taken[:, 0]
+        return [[self.subjects[s] for s in np.flatnonzero(row)] for row in first], shares
+
+    def decode(self, text: str, source: str | None) -> tuple[list[str], np.ndarray]:
+        found, shares = self.decode_all([text], [source])
+        return found[0], shares[0]
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("subjects", pa.list_(pa.string())), ("shares", pa.list_(pa.float32()))])
@@ -248,10 +304,13 @@ def fit(docs: DataFrame, doc_labels: DataFrame, subjects: DataFrame, labelled: i
     names = sorted(r.subject for r in subjects.select("subject").where("subject is not null").distinct().collect())
     marked = doc_labels.where(F.col("subject").isin(names) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("marked"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    rows = latest(docs.join(F.broadcast(chosen), "doc_id"), "doc_id").where(f"length(text) between 1 and {TRAIN_CHARS}").orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "source", "marked").collect()
-    more = docs.where(f"length(text) between 1 and {TRAIN_CHARS}").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", F.xxhash64("text")).limit(others).select("text").collect()
+    fits = f"length(text) between 1 and {TRAIN_CHARS}"
+    rows = latest(docs.join(F.broadcast(chosen), "doc_id"), "doc_id").where(fits).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "source", "marked").collect()
+    # only ids are ranked: what the driver receives does not grow with the number of partitions
+    ids = docs.where(f"doc_id is not null and {fits}").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(others).distinct()
+    more = latest(docs.join(F.broadcast(ids), "doc_id", "left_semi"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("text").collect()
     y = np.array([[float(n in r.marked) for n in names] for r in rows]).reshape(len(rows), len(names))
-    return SubjectModel(names, [r.text for r in rows], [r.source for r in rows], y, [r.text for r in more])
+    return SubjectModel(names, [r.text for r in rows], [r.source for r in rows], y, [r.text for r in more if r.text])
 
 
 def classify(docs: DataFrame, model: SubjectModel) -> DataFrame:
@@ -260,7 +319,10 @@ def classify(docs: DataFrame, model: SubjectModel) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [state.value.decode(t or "", s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32()))], schema=_OUT)
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                found, shares = state.value.decode_all([t or "" for t in part.column(1).to_pylist()], part.column(2).to_pylist())
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * shares.shape[1]), pa.array(shares.astype(np.float32).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(found, pa.list_(pa.string())), rows], schema=_OUT)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source").mapInArrow(run, "doc_id bigint, subjects array<string>, shares array<float>")

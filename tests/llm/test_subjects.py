@@ -69,3 +69,46 @@ def test_classify_and_fit_in_spark(spark):
     assert len(got) == 152 and got[999] == got[1000] == []
     assert np.mean([got[i] == y for i, (_, y) in enumerate(rows)]) > 0.9
     assert S.classify(docs.limit(0), S.fit(docs, labels.limit(0), subjects)).count() == 0
+
+
+def test_texts_of_a_batch_are_decoded_as_they_are_alone():
+    model = trained(120)
+    test = [t for t, _ in made(40, 6)] + ["", "no term of any subject"]
+    together, shares = model.decode_all(test, ["blog", None] * 21)
+    for k, text in enumerate(test):
+        alone, share = model.decode(text, ["blog", None][k % 2])
+        assert alone == together[k] and np.allclose(share, shares[k]) and len(alone) <= S.MOST
+    assert model.decode_all([], [])[0] == []
+
+
+def test_a_sentence_of_a_part_of_the_texts_is_the_same_sentence():
+    whole = S.flat(["one two. three four five.", "", "six seven."])
+    part = whole.of(np.array([0, 2]))
+    assert part.count.tolist() == [2, 1] and part.size.tolist() == whole.size.tolist() and part.terms.tolist() == whole.terms.tolist()
+    assert whole.text.tolist() == [0, 0, 2] and whole.of(np.array([1])).terms.size == 0
+
+
+def test_beam_equals_all_combinations():
+    """With two labels at most and a beam of six over three subjects the beam finds the likeliest of all combinations."""
+    import itertools
+
+    model = trained(200)
+    test = [t for t, _ in made(30, 12)]
+    docs = S.flat(test)
+    shares = model.terms.shares(docs)
+    shape = S.structure(test, docs.count, ["blog"] * len(test), model.sources)
+    got, _ = model.decode_all(test, ["blog"] * len(test))
+    for i in range(len(test)):
+        best = (-np.inf, ())
+        for combo in itertools.chain.from_iterable(itertools.combinations(range(3), n) for n in range(3)):
+            if any(shares[i, s] <= 0 for s in combo):
+                continue
+            log = 0.0
+            for at, s in enumerate(model.order):
+                before = np.array([float(t in combo) for t in model.order[:at]]) * S.CHAIN_SCALE
+                x = np.concatenate([model._features(shares[[i]], shape[[i]], s)[0], before, [1.0]])
+                slope, shift = model.calibration[at]
+                z = slope * (x @ model.chain[at]) + shift
+                log -= np.logaddexp(0, -z if s in combo else z)
+            best = max(best, (log, combo))
+        assert got[i] == sorted(model.subjects[s] for s in best[1])
