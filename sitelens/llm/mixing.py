@@ -37,15 +37,20 @@ BUCKET_TOKENS = 4_000_000
 
 
 def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """Rows (key, tokens): the length of each whole text in tokens; null counts 0."""
+    """Rows (key, tokens): the length of each whole text in tokens; null counts 0.
+
+    The vocabulary is read on the driver and broadcast (a file of about a
+    megabyte), so the executors need no copy of it.
+    """
+    with open(tokenizer, "rb") as file:
+        vocabulary = df.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
 
         import tiktoken
 
-        with open(tokenizer, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.value.splitlines())}
         encoding = tiktoken.Encoding("mixing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             counts = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()]
