@@ -24,9 +24,11 @@ def crawled(spark, folder: str, *columns: str) -> DataFrame:
     return latest(load(spark, folder, "crawled_pages").select("page_id", *columns, "ingested_at"), "page_id").drop("ingested_at")
 
 
-def documents(spark, folder: str, *columns: str) -> DataFrame:
-    """The counting row of each document."""
-    return latest(load(spark, folder, "documents").select("doc_id", *columns, "ingested_at"), "doc_id").drop("ingested_at")
+def documents(spark, folder: str, *columns: str, only: DataFrame | None = None) -> DataFrame:
+    """The counting row of each document, or of those whose ``doc_id`` is in ``only``, which are picked before rows are told apart."""
+    rows = load(spark, folder, "documents").select("doc_id", *columns, "ingested_at")
+    rows = rows if only is None else rows.join(only, "doc_id", "left_semi")
+    return latest(rows, "doc_id").drop("ingested_at")
 
 
 def small(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:

@@ -12,6 +12,8 @@ make a case.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +34,16 @@ def _shingles(tokens: Column, size: int) -> Column:
     return F.coalesce(F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, size))), F.array().cast("array<bigint>"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", run: int = RUN, shingle: int = SHINGLE) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", run: int = RUN, shingle: int = SHINGLE, again: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Distinct rows (doc, item) of documents with ``run`` or more consecutive passage words.
 
     Null and empty texts or passages, and those of fewer than ``run`` words,
     give no row; items with equal passages are all listed; repeated rows count
     once; other columns are ignored. Whole texts are searched.
+
+    The documents are read once in full; for the comparison of words those with a window in line are read
+    again by ``again``, which gives the rows (doc, text) of the documents in a frame of ids (column ``doc``). Give one that
+    filters before it tells rows apart, so that the others are not shuffled again.
     """
     if not 1 <= shingle <= run:
         raise ValueError("shingle must lie between 1 and run")
@@ -57,7 +63,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "t
     prefix = cut(prefix.where(F.col("found") == run - shingle + 1).select("passage_id", "start", "rarest.h", "rarest.offset"))
     # A passage may leak into a third of all documents: the item side of each join is broadcast while it is small.
     prefix, _ = small(prefix, BROADCAST_SHINGLES)
-    lined_up = hits.join(prefix, "h").where("at >= offset").select("doc", "passage_id", "start", (F.col("at") - F.col("offset")).alias("d_start")).distinct()
+    lined_up = cut(hits.join(prefix, "h").where("at >= offset").select("doc", "passage_id", "start", (F.col("at") - F.col("offset")).alias("d_start")).distinct())
+    hit, _ = small(cut(lined_up.select(F.col("doc").alias(doc)).distinct()), BROADCAST_SHINGLES)
+    found = again(hit) if again is not None else docs.join(hit, doc, "left_semi")
+    tokens = found.select(F.col(doc).alias("doc"), words(F.col(text)).alias("d_words"))
 
     all_windows, _ = small(windows, BROADCAST_WINDOWS)
     checked = lined_up.join(all_windows, ["passage_id", "start"]).join(tokens, "doc").where(F.size("d_words") >= F.col("d_start") + run)

@@ -11,7 +11,8 @@ from sitelens.tables import load
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks(documents(spark, folder, "text"), load(spark, folder, "eval_items").select("item_id", "passage"))
+    items = load(spark, folder, "eval_items").select("item_id", "passage")
+    return leaks(documents(spark, folder, "text"), items, again=lambda hit: documents(spark, folder, "text", only=hit))
 
 
 def p7_items(spark: SparkSession, folder: str) -> DataFrame:
