@@ -34,6 +34,8 @@ def grams(code: np.ndarray, order: int = ORDER) -> np.ndarray:
     return out
 
 
+#: Characters that are scored at a time.
+STRETCH = 16_384
 #: Lines are scored together with this between them, so that no n-gram spans two of them.
 GAP = "\n" * (ORDER - 1)
 
@@ -90,13 +92,18 @@ class CharModels:
     def log_probabilities(self, code: np.ndarray) -> np.ndarray:
         """(characters, models) natural logarithms for the characters of :func:`line_codes`."""
         slots = grams(code)
-        seen = self.counts[0][slots[0]]
-        p = (seen + np.float32(0.2)) / (self.total + np.float32(0.2 * _ALPHABET))
-        for k in range(1, ORDER):
-            context = np.concatenate([np.zeros((1, seen.shape[1]), np.float32), seen[:-1]])
-            seen = self.counts[k][slots[k]]
-            p *= np.float32(BACK)
-            p += np.minimum(seen, context)
-            context += np.float32(BACK)
-            p /= context
-        return np.log(p, out=p)
+        out = np.empty((len(code), len(self.total)), np.float32)
+        least = self.total + np.float32(0.2 * _ALPHABET)
+        for lo in range(0, len(code), STRETCH):  # what is worked on stays in the processor's cache
+            hi = min(lo + STRETCH, len(code))
+            first = max(0, lo - 1)
+            here = self.counts[0].take(slots[0, first:hi], axis=0)
+            p = (here[lo - first :] + np.float32(0.2)) / least
+            for k in range(1, ORDER):
+                context = here[: hi - lo] if lo else np.concatenate([np.zeros((1, here.shape[1]), np.float32), here[:-1]])
+                here = self.counts[k].take(slots[k, first:hi], axis=0)
+                p *= np.float32(BACK)
+                p += np.minimum(here[lo - first :], context)
+                p /= context + np.float32(BACK)
+            np.log(p, out=out[lo:hi])
+        return out
