@@ -77,7 +77,7 @@ def select_ranks(state: DataFrame, groups: Sequence[str], probabilities: Sequenc
     ``state`` comes from :func:`counted`, or is a union of several such states.
     Each level makes a histogram of one digit, at most 2**bits cells for each
     group and prefix followed; a hot group is summed map-side, so no task holds
-    its rows. The state is read once a level.
+    its rows. The state is read once a level. Targets and cells grow with the groups: neither is broadcast.
     """
     if sum(digits) > 64 or min(digits) < 1:
         raise ValueError("digits must be positive and sum to at most 64 bits")
@@ -92,13 +92,13 @@ def select_ranks(state: DataFrame, groups: Sequence[str], probabilities: Sequenc
         upto = Window.partitionBy(*by, "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         cells = cells.withColumn("upto", F.sum("n").over(upto))
         inside = (F.col("t.rank") <= F.col("c.upto")) & (F.col("t.rank") > F.col("c.upto") - F.col("c.n"))
-        hit = targets.alias("t").join(cells.alias("c"), _same("t", "c", [*by, "prefix"]) & inside)
+        hit = targets.alias("t").join(cells.alias("c").hint("merge"), _same("t", "c", [*by, "prefix"]) & inside)
         below = F.col("c.upto") - F.col("c.n")
         targets = cut(hit.select(*[F.col(f"t.{c}").alias(c) for c in by], "t.total", "t.p", (F.col("t.rank") - below).alias("rank"), F.col("c.digit").alias("prefix")))
         if level + 1 < len(digits):
             followed = targets.select(*by, "prefix").distinct()
             here = state.withColumn("prefix", F.shiftright(F.col("key"), 64 - used))
-            rest = here.alias("r").join(followed.alias("f"), _same("r", "f", [*by, "prefix"]), "left_semi")
+            rest = here.alias("r").join(followed.alias("f").hint("merge"), _same("r", "f", [*by, "prefix"]), "left_semi")
     left = 64 - used
     low = F.shiftleft(F.col("prefix"), left)
     key = F.when(low < 0, low + F.lit((1 << left) - 1)).otherwise(low) if left else low
