@@ -32,8 +32,13 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return tables(spark, folder).where(~F.col("tag").isin(*RECORDS)).select(F.col("root_id").alias("parent_id"), F.col("tag").alias("child"), "ord", "sub_ord")
 
 
+def _told(table: DataFrame) -> DataFrame:
+    """The table with its other fields as one JSON text."""
+    return table.withColumn("rest", F.to_json("rest"))
+
+
 def p1_recommendations(spark: SparkSession, folder: str) -> DataFrame:
-    return typed_table(tables(spark, folder), "recommendation")
+    return _told(typed_table(tables(spark, folder), "recommendation"))
 
 
 def p1_hops(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,12 +46,12 @@ def p1_hops(spark: SparkSession, folder: str) -> DataFrame:
     rows = tables(spark, folder)
     hops, headers = typed_table(rows, "hop"), typed_table(rows, "hop_header")
     headers = headers.select(F.col("parent_id").alias("node_id"), F.col("sub_ord").alias("header_ord"), F.col("name").alias("header_name"), F.col("value").alias("header_value"))
-    return hops.drop("value", "sub_ord").join(headers, "node_id", "left")
+    return _told(hops).drop("value", "sub_ord").join(headers, "node_id", "left")
 
 
 def p1_plans(spark: SparkSession, folder: str) -> DataFrame:
     """The own fields of each plan."""
-    return typed_table(tables(spark, folder), "plan")
+    return _told(typed_table(tables(spark, folder), "plan"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_recommendations": p1_recommendations, "p1_hops": p1_hops, "p1_plans": p1_plans}
