@@ -24,6 +24,8 @@ from sitelens.llm.phrases import IN_USE, LOREM, NOTICES, OPENERS, SPOKEN_OF, SPO
 WINDOW = 32
 COVERAGE = 0.5
 FEW_WORDS = 40
+#: Mean log-probability of a character below which a window of filler or notice is strange even to these models.
+UNKNOWN = -4.2
 #: Least gain in nats of the mark model over prose and furniture at a mark.
 LEAST_GAIN = 2.0
 
@@ -79,11 +81,11 @@ class Scored:
     """Distinct lines with what the models say of them.
 
     ``cover`` has for each line the characters in windows that read as natural,
-    furniture, filler and notice; ``reads`` the kind of the whole line; ``marked`` whether it holds a mark in use.
+    furniture, filler and notice, and of those that read as one of the last two but are strange to it; ``reads`` the kind of the whole line; ``marked`` whether it holds a mark in use.
     """
 
     def __init__(self, size: int):
-        self.cover = np.zeros((size, 4))
+        self.cover = np.zeros((size, 5))
         self.reads = np.zeros(size, np.int64)
         self.marked = np.zeros(size, bool)
 
@@ -116,8 +118,10 @@ class ResidueModel:
         line = np.repeat(np.arange(len(lines)), n)
         first = starts[line] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * (WINDOW // 2)
         last = np.minimum(first + WINDOW, ends[line])
-        best = (sums[last] - sums[first])[:, :4].argmax(axis=1)
-        out.cover = np.bincount(line * 4 + best, weights=last - first, minlength=4 * len(lines)).reshape(-1, 4)
+        inside = (sums[last] - sums[first])[:, :4]
+        best = inside.argmax(axis=1)
+        best[(best >= 2) & (inside.max(axis=1) < UNKNOWN * (last - first))] = 4
+        out.cover = np.bincount(line * 5 + best, weights=last - first, minlength=5 * len(lines)).reshape(-1, 5)
         # Of all windows that end at a character the best gains the sum up to it less the least sum before; none spans a gap.
         gain = per[:, 4] - np.maximum(per[:, 0], per[:, 1])
         gain[code == 10] = -40.0 / len(GAP)
@@ -167,10 +171,12 @@ class ResidueModel:
         judged = list(own)
         if words < FEW_WORDS:
             judged += [k for k in furniture if scored.reads[k] >= 2]
-        by = scored.cover[judged].sum(axis=0) if judged else np.zeros(4)
-        residue, natural = by[2] + by[3], by[0]
+        by = scored.cover[judged].sum(axis=0) if judged else np.zeros(5)
+        known, residue, natural = by[2] + by[3], by[2:].sum(), by[0]
         if not residue or residue / (residue + natural) < COVERAGE:
             return ""
+        if known < residue / 2:  # prose in a language that the sample lacks is strange to all models alike
+            return ""
         return "filler" if by[2] > by[3] else "notice"
 
     def judge(self, title: str | None, text: str, content: str, furniture: Sequence[str] = ()) -> str:
