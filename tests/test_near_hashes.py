@@ -52,3 +52,12 @@ def test_exploded_hashes_are_not_broadcast(spark):
     df = spark.range(2000).select(F.lit("s").alias("scan_id"), F.col("id").alias("page_id"), F.col("id").alias("page_ord"), F.lit("u").alias("url"), F.concat(F.lit("stone river cloud brook meadow "), F.repeat(F.concat(F.lit(" tree"), F.col("id")), 9)).alias("body_text"))
     for frame in (duplicates.near_pairs(df, ["scan_id"], 6), duplicates.near_hashes(df.select(F.xxhash64("page_id").alias("simhash")), (), "simhash", 4)):
         assert "BroadcastHashJoin" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_rule_broadcasts_no_hashes(spark, make_pages):
+    from sitelens.operators.site_rules import near_duplicate_content
+
+    text = " ".join(f"stone{i} river{i * 7} cloud{i * 3}" for i in range(60))
+    found = near_duplicate_content(make_pages({"body_text": text}, {"body_text": text + " brook1"}))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.page_id for r in found.collect()] == [1]
