@@ -61,3 +61,11 @@ def test_the_rule_broadcasts_no_hashes(spark, make_pages):
     found = near_duplicate_content(make_pages({"body_text": text}, {"body_text": text + " brook1"}))
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert [r.page_id for r in found.collect()] == [1]
+
+
+def test_no_rule_over_several_pages_broadcasts_a_side(spark):
+    """Links, URLs and stored pages grow with the crawl; the planner takes the sides of their joins for small."""
+    from sitelens.plans.audit_queries import found_issues
+
+    plan = found_issues(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
