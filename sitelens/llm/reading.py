@@ -1,10 +1,10 @@
 """Reading level by language-model surprisal and isotonic regression.
 
 An interpolated n-gram model is trained on easy prose: fixed sentences and the
-plainest quarter of a bounded sample of the corpus. Every English text is
+plainest quarter of the corpus, or of texts at hand. Every English text is
 scored to its end; the whole distribution of its sentences' surprisal in bits a
 word is what speaks for its difficulty: its mean, median and upper quantile,
-all weighted by words, in one score whose weights fit the sample best. Isotonic regression, fitted on the sample,
+all weighted by words, in one score whose weights fit these texts best. Isotonic regression, fitted on them,
 maps the text's score monotonically to a school grade.
 """
 
@@ -42,6 +42,8 @@ _SENTENCE = re.compile(r"(?<=[.!?…;])\s+|\n")
 #: Capitalised words; those that are met in fewer texts of the sample than ``NAMED`` are names.
 _CAPITAL = re.compile(r"\b[A-ZÄÖÜÉ][^\W\d_]+(?: [A-ZÄÖÜÉ][^\W\d_]+)*")
 NAMED = 5
+#: Of more texts than this a word must be met in the same share, and all together count as so many against the fixed sentences.
+USUAL_TEXTS = 800
 _VOWELS = re.compile(r"[aeiouy]{1,2}")
 
 
@@ -57,6 +59,17 @@ def language(text: str) -> str:
 
 
 _KNOWN = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+#: Words that are no names, whatever the texts.
+FIXED_WORDS = frozenset(w for t in EASY for w in _WORD.findall(t.lower())) | _KNOWN["en"]
+
+
+def vocabulary(text: str) -> set[str]:
+    return set(_WORD.findall(text.lower()))
+
+
+def least_met(texts: int) -> float:
+    """Of so many texts the least that must hold a word for it to be no name."""
+    return NAMED * max(1.0, texts / USUAL_TEXTS)
 
 
 def syllables(word: str) -> int:
@@ -73,13 +86,14 @@ def weak_grade(text: str) -> float:
     return 0.39 * USUAL_LENGTH + 11.8 * sum(map(syllables, words)) / max(1, len(words)) - 15.59
 
 
-def isotonic(x: Sequence[float], y: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
-    """The non-decreasing least-squares fit by pooling adjacent violators, as points for interpolation."""
+def isotonic(x: Sequence[float], y: Sequence[float], n: Sequence[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The non-decreasing least-squares fit by pooling adjacent violators, as points for interpolation; ``n`` has the weights, else one each."""
     order = np.argsort(x, kind="stable")
     xs, level, weight, first = np.asarray(x, float)[order], [], [], []
+    weights = np.ones(len(xs)) if n is None else np.asarray(n, float)[order]
     for i, value in enumerate(np.asarray(y, float)[order]):
         level.append(value)
-        weight.append(1.0)
+        weight.append(weights[i])
         first.append(i)
         while len(level) > 1 and level[-2] >= level[-1]:
             total = weight[-2] + weight[-1]
@@ -110,14 +124,18 @@ def _sentences(text: str, known: frozenset[str]) -> tuple[list[str], list[int]]:
     return parts, counts
 
 
+def sentences(text: str, known: frozenset[str]) -> list[str]:
+    return _sentences(text, known)[0]
+
+
 class ReadingModel:
     def __init__(self, texts: Sequence[str]):
         """Fitted on English texts of at least a few words; with few of them the fixed sentences carry more weight."""
         texts = [t for t in texts if language(t) == "en"]
         grades = [weak_grade(t) for t in texts]
         easy = sorted(range(len(texts)), key=grades.__getitem__)[: max(1, len(texts) // 4)] if texts else []
-        met = Counter(w for t in texts for w in set(_WORD.findall(t.lower())))
-        self.known = frozenset(w for w, n in met.items() if n >= NAMED) | frozenset(w for t in EASY for w in _WORD.findall(t.lower())) | _KNOWN["en"]
+        met = Counter(w for t in texts for w in vocabulary(t))
+        self.known = frozenset(w for w, n in met.items() if n >= NAMED) | FIXED_WORDS
         self.model = CharModels([[*EASY * 3, *(s for k in easy for s in _sentences(texts[k], self.known)[0])]])
         held = sorted(set(range(len(texts))) - set(easy[::2]))
         found = np.array(self.surprisals([*(texts[k] for k in held), " ".join(EASY)]))
@@ -130,6 +148,27 @@ class ReadingModel:
             if error < best - 1e-9:
                 best, self.weights, (self.x, self.y) = error, np.array(weights), fit
 
+    @classmethod
+    def counted(cls, known: frozenset[str], easy: np.ndarray) -> ReadingModel:
+        """A model of these known words and counts of easy sentences; :meth:`settle` fits its grades."""
+        self = cls.__new__(cls)
+        self.known, self.model = known, CharModels([EASY * 3])
+        self.model.add(0, easy)
+        return self
+
+    def settle(self, sums: Sequence[tuple[int, float, int, float, float, float]]) -> None:
+        """Weights and grades that fit texts best, from (k, x, n, y, l, ll): for the k-th of ``WEIGHTS`` and each score x the number of texts, and the sums of their grades, of the logarithms of these plus one and of their squares."""
+        fixed = np.array(self.surprisal(" ".join(EASY)))
+        best = np.inf
+        for k, weights in enumerate(WEIGHTS):
+            own = sorted(r[1:] for r in sums if r[0] == k)
+            x, n, y, log, square = np.array([*own, (float(fixed @ weights), 1, 1.0, np.log(2), np.log(2) ** 2)], float).T
+            fit = isotonic(x, y / n, n)
+            at = np.log1p(np.maximum(np.interp(x, *fit), 0))
+            error = (n * at * at - 2 * at * log + square).sum()
+            if error < best - 1e-9:
+                best, self.weights, (self.x, self.y) = error, np.array(weights), fit
+
     def surprisals(self, texts: Sequence[str]) -> list[tuple[float, float, float]]:
         """For each text the mean (of square roots, so that a menu glued to a sentence does not decide), the median and the upper quartile of the bits a word of all of its sentences, which count by their words.
 

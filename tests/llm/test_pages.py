@@ -207,3 +207,24 @@ def test_prose_in_a_language_the_sample_lacks_is_no_notice():
     fitted = ResidueModel([*PLAIN, *EASY, HARD] * 8, ["Back to top"] * 4)
     foreign = "Pieni kissa istuu ikkunalla ja katselee lintuja pihalla.\nIllalla perhe syö keittoa ja leipää keittiön pöydän ääressä.\nTalvella järvi jäätyy, ja lapset luistelevat aamusta iltaan."
     assert fitted.judge("Kissa", foreign, foreign) == ""
+
+
+def corpus(spark, rows):
+    return spark.createDataFrame([(i, f"https://{r[0]}/{i}", r[1], r[2], 404 if len(r[2]) < 60 else 200) for i, r in enumerate(rows)], "page_id bigint, url string, title string, body_text string, status_code int")
+
+
+def test_residue_models_are_counted_over_all_pages(spark, monkeypatch):
+    """Six pages train the labeller, but the lines of every page are in the models, weighed as the usual number of pages."""
+    rows = [*site(60, 4), *(("h0.example", "T", f"Sorry, the shelf {k} is bare.\nCome back later.") for k in range(8))]
+    fitted = P.fit(corpus(spark, rows).repartition(5), limit=6)
+    fixed = ResidueModel([], []).models.total
+    own = [[x for x, q in zip(B.blocks(r[2])[0], side) if not q] for r, side in zip(rows, P.predicted(fitted.labeller, [(r[1], r[2]) for r in rows]))]
+    signs = lambda lines: sum(len(" ".join(x.split())) for x in lines)
+    assert fitted.residue.models.total[0] - fixed[0] == pytest.approx(sum(signs(x) for x in own[:60]), rel=1e-3)
+    # pages of a failure's status that read as notices count once for all and once for the failed
+    assert fitted.residue.models.total[3] - fixed[3] in [pytest.approx(2 * k * signs(own[60]), rel=1e-3) for k in range(9)]
+    monkeypatch.setattr(P, "RESIDUE_PAGES", 34)
+    half = P.residue_model(fitted.labelled).models.total
+    assert half[0] - fixed[0] == pytest.approx((fitted.residue.models.total[0] - fixed[0]) / 2, rel=1e-3)
+    again = P.residue_model(fitted.labelled.repartition(9)).models.counts
+    assert np.array_equal(again, P.residue_model(fitted.labelled).models.counts)
