@@ -228,3 +228,18 @@ def test_residue_models_are_counted_over_all_pages(spark, monkeypatch):
     assert half[0] - fixed[0] == pytest.approx((fitted.residue.models.total[0] - fixed[0]) / 2, rel=1e-3)
     again = P.residue_model(fitted.labelled.repartition(9)).models.counts
     assert np.array_equal(again, P.residue_model(fitted.labelled).models.counts)
+
+
+def test_the_reading_model_is_counted_over_all_texts(spark, monkeypatch):
+    texts = ["\n".join(page(np.random.default_rng(k), kind)) for k, kind in enumerate(["easy", "plain", "hard"] * 40)]
+    df = spark.createDataFrame([(k, t, 9) for k, t in enumerate(texts)], "page_id bigint, content string, n_lines int")
+    fitted, here = P.reading_model(P.graded(df.repartition(4))), R.ReadingModel(texts)
+    assert fitted.known == here.known and np.array_equal(fitted.model.total, here.model.total) and np.array_equal(fitted.model.counts, here.model.counts)
+    assert np.abs(np.array(fitted.grades(texts)) - here.grades(texts)).max() < 0.7
+    again = P.reading_model(P.graded(df.repartition(7)))
+    assert np.array_equal(again.y, fitted.y) and np.array_equal(again.weights, fitted.weights)
+    monkeypatch.setattr(R, "USUAL_TEXTS", 60)
+    half = P.reading_model(P.graded(df))
+    fixed = CharModels([R.EASY * 3]).total[0]
+    assert half.known <= here.known and half.model.total[0] - fixed == pytest.approx((here.model.total[0] - fixed) / 2, rel=1e-3)
+    assert P.reading_model(P.graded(df.limit(0))).grade("The cat sat on the mat.") >= 0
